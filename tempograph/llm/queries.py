@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter
+from .chat_format import op8_chat_format
 from .packing import op5_packing
 from .secret_scan import op1_secret_scan
 from .token_counts import op3_token_counts
 from .token_encoding import op2_bpe_encoding
+from .url_filter import op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_encoding, op3_token_counts, op5_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_encoding, op3_token_counts, op5_packing, op6_url_filter, op8_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": url_filter.sql()}
