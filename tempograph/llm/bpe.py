@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import operator
 import os
 import re
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Letters and punctuation for which lower case and NFC act on each character alone; no apostrophe, no digit.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,200})([!-&(-/:-@\[-`{-~]*)")
+SIMPLE = re.compile(r"^(([A-Za-zÀ-ÖØ-öø-ÿ]{1,200})([!-&(-/:-@\[-`{-~]*))$", re.MULTILINE)
 AGREE = 8
 
 
@@ -31,10 +32,11 @@ class Encoder:
     """Ids of texts, as the library gives them with add_special_tokens=False and no truncation or padding.
 
     If the tokenizer drops white space and looks at nothing beyond it, a text's ids are the ids of its chunks
-    between blanks, which are remembered in two bounded tables (whole chunks; lower-cased letter runs).
+    between blanks, which are remembered in two tables (whole chunks; lower-cased letter runs). A table that has
+    grown beyond `limit` entries, a few hundred megabytes, starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +58,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.by_chunk:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         out = []
         for group in groups(texts, 1 << 21):
             cut = [t.replace("\n", " ").split(" ") for t in group]
@@ -69,30 +71,26 @@ class Encoder:
         return out
 
     def learn(self, new: set[str]) -> None:
+        """Enter new chunks. Those of letters and punctuation are made of their two parts' ids; all steps but the library's go over whole lists."""
         if len(self.stems) > self.limit:
             self.stems = {"": b""}
-        split, rest, match = {}, [], SIMPLE.fullmatch
-        for w in new:
-            if m := match(w):
-                split[w] = (m[1].lower(), m[2])
-            else:
-                rest.append(w)
-        parts = {p for pair in split.values() for p in pair}.difference(self.stems)
-        if stems := [p for p in parts if p[0].isalpha()]:
-            ids = np.array(self.tok.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(stems):
+        found = SIMPLE.findall("\n".join(new))
+        wholes = [f[0] for f in found]
+        stems, tails = "\n".join([f[1] for f in found]).lower().split("\n"), [f[2] for f in found]
+        if missing := list(set(stems).difference(self.stems)):
+            ids = np.array(self.tok.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(missing):
                 raise AssertionError("a run of letters must be one pre-token")
-            raw, at = ids.tobytes(), 0
-            for stem, stop in zip(stems, (stops * 4).tolist(), strict=True):
-                self.stems[stem] = raw[at:stop]
-                at = stop
-        rest += (tails := [p for p in parts if not p[0].isalpha()])
-        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
+            raw = ids.tobytes()
+            stops = stops.tolist()
+            self.stems.update(zip(missing, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        rest = [*new.difference(wholes), *(marks := list(set(tails).difference(self.stems)))]
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.chunks[w] = np.array(e.ids, "<u4").tobytes()
-        for p in tails:
-            self.stems[p] = self.chunks[p]
-        self.chunks.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in split.items())
+        self.stems.update((p, self.chunks[p]) for p in marks)
+        get = self.stems.__getitem__
+        self.chunks.update(zip(wholes, map(operator.add, map(get, stems), map(get, tails)), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """As decode(ids, skip_special_tokens=False): of a tokenizer without decoder, the tokens joined by blanks."""
@@ -153,6 +151,18 @@ def drops_blanks(config: dict) -> bool:
     )
 
 
+def folded(spans: np.ndarray) -> bytes:
+    """Spans in 8 bytes a token: all ids, then the steps between starts, then the lengths, each below 2**16."""
+    starts, lengths = np.diff(spans[:, 1], prepend=0), spans[:, 2] - spans[:, 1]
+    return spans[:, 0].astype("<u4").tobytes() + starts.astype("<u2").tobytes() + lengths.astype("<u2").tobytes()
+
+
+def unfolded(raw: bytes) -> np.ndarray:
+    n = len(raw) // 8
+    starts = np.cumsum(np.frombuffer(raw, "<u2", n, 4 * n).astype("int64"))
+    return np.column_stack([np.frombuffer(raw, "<u4", n).astype("int64"), starts, starts + np.frombuffer(raw, "<u2", n, 6 * n)])
+
+
 def groups(texts: list[str], most: int) -> Iterator[list[str]]:
     """The texts in order, in lists of at most about `most` characters."""
     own, size = [], 0
@@ -172,11 +182,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, decode: bool = True, leaf: int = 16_384) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, decode: bool = True, leaf: int = 32_768) -> DataFrame:
     """(id, n_tokens, ids, decoded) of docs(id, text): ids as little-endian unsigned 32-bit numbers in a binary, or, with decode, their digests.
 
     With decode: (id, n_tokens, ids_sha256, decoded_sha256). Null or empty text: no tokens and the digests of
-    nothing. Each row gives a row, repeated rows too. Texts over `leaf` characters go by tree concatenation:
+    nothing. Each row gives a row, repeated rows too. Texts over `leaf` (below 2**16) characters go by tree concatenation:
     their pieces are dealt out, encoded in parallel, and joined where the text's pieces meet again.
     """
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if decode else "id long, n_tokens long, ids binary"
@@ -201,13 +211,13 @@ def encode_texts(docs: DataFrame, tokenizer: str, decode: bool = True, leaf: int
         coder = encoder(tokenizer)
         for batch in batches:
             for row in batch.to_pylist():
-                found = coder.spans(row["piece"]).astype("<i8").tobytes()
+                found = folded(coder.spans(row["piece"]))
                 yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in (("id", pa.int64()), ("copy", pa.int64()), ("k", pa.int32()), ("piece", pa.string()))] + [pa.array([found], pa.binary())], ["id", "copy", "k", "piece", "spans"])
 
     def whole(pieces: pd.DataFrame) -> pd.DataFrame:
         coder, pieces = encoder(tokenizer), pieces.sort_values("k")
         text, cuts = "".join(pieces["piece"]), np.cumsum([0, *pieces["piece"].str.len()]).tolist()
-        spans = [np.frombuffer(x, "<i8").reshape(-1, 3) + [0, at, at] for x, at in zip(pieces["spans"], cuts, strict=False)]
+        spans = [unfolded(x) + [0, at, at] for x, at in zip(pieces["spans"], cuts, strict=False)]
         ids = coder.tree(text, spans, cuts)[:, 0].astype("<u4").tobytes()
         return result(coder, [pieces["id"].iloc[0]], [ids]).to_pandas()
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filter
+from .ann import op7_nearest_neighbours
 from .chat_format import op8_chat_format
 from .packing import op5_packing
+from .quality import op4_quality_classifier
 from .secret_scan import op1_secret_scan
 from .token_counts import op3_token_counts
 from .token_encoding import op2_bpe_encoding
@@ -16,7 +18,7 @@ from .url_filter import op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_encoding, op3_token_counts, op5_packing, op6_url_filter, op8_chat_format)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_encoding, op3_token_counts, op4_quality_classifier, op5_packing, op6_url_filter, op7_nearest_neighbours, op8_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
