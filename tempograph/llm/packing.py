@@ -66,16 +66,16 @@ def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarra
 
 def divide(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window number of each size, no window above the capacity, near as few windows as can be. Sizes are at most the capacity."""
-    windows, more = max(1, -(-int(sizes.sum()) // capacity)), 1
+    windows = max(1, -(-int(sizes.sum()) // capacity))
     while windows < len(sizes):
         where, sums = differencing(sizes, windows)
         if sums[0] <= capacity:
             return where
-        windows, more = windows + max(1, more // 2), more + 1
+        windows += 1
     return np.arange(len(sizes))
 
 
-def pack(pieces: DataFrame, capacity: int, group: int = 1024) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, group: int = 512) -> DataFrame:
     """pieces with sequence_id and offset. pieces: PIECES, any length from 1 to the capacity; ties and repeated rows stay rows of their own; no pieces give no rows.
 
     group: the mean number of pieces that are divided together, which bounds a task's memory and time.
