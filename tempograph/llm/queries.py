@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import url_filter
 from .ann import op7_nearest_neighbours
 from .chat_format import op8_chat_format
+from .media import op9_lossless_webp
 from .near_dedup import op10_near_dedup
 from .packing import op5_packing
 from .quality import op4_quality_classifier
@@ -19,7 +20,7 @@ from .url_filter import op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_encoding, op3_token_counts, op4_quality_classifier, op5_packing, op6_url_filter, op7_nearest_neighbours, op8_chat_format, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_encoding, op3_token_counts, op4_quality_classifier, op5_packing, op6_url_filter, op7_nearest_neighbours, op8_chat_format, op9_lossless_webp, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
