@@ -66,7 +66,8 @@ def distinct_contents(df: DataFrame, key: str, seen: DataFrame | None) -> DataFr
     carriers = df.groupBy(key).agg(F.min("id").alias("id"))
     if seen is not None:
         carriers = carriers.join(seen.select(key), key, "left_anti")
-    return df.select("id", key, "text").join(carriers.hint("shuffle_hash"), ["id", key]).select(key, "text")
+    rows, carriers = df.select("id", key, "text").alias("r"), carriers.alias("c").hint("shuffle_hash")
+    return rows.join(carriers, F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col(f"r.{key}") == F.col(f"c.{key}"))).select(f"r.{key}", "r.text")
 
 
 def crc_fold(doc_id: int, folds: int = 5) -> int:

@@ -210,7 +210,8 @@ def groups(docs: DataFrame, least: int = 75) -> DataFrame:
     """(id, n_shingles, component_id) of docs(id, text), one row a row: linked where 100 * intersection >= least * union.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Repeated rows are
-    copies; rows that share an id are one document. An empty table gives none.
+    copies; rows that share an id are one document. A row without an id belongs to its copies' component, or to
+    null. An empty table gives none.
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), common.text_of(docs).alias("text"))
     rows = common.written(docs.mapInArrow(signed, "id long, n_shingles long, content binary, bands array<long>, sketch array<long>"), "signatures")
@@ -249,6 +250,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose id is their group's smallest; of repeated rows all stay."""
+    """The documents, all columns, whose id is their group's smallest; of repeated rows all stay, and so do rows without an id."""
     found = groups(docs.select(F.col("doc_id").alias("id"), "text")).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    first = docs.join(found.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))
