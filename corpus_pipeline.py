@@ -1,11 +1,43 @@
-"""A corpus pipeline over the training-data operators."""
+"""A corpus pipeline: low quality out, one document of each near-duplicate group, secrets covered, the rest packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tempograph.llm import common, near_dedup, packing, quality, secret_scan
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones of them, does not reject."""
+    return quality.kept(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return near_dedup.kept(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret that was found replaced by a mark."""
+    return secret_scan.redacted(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in packed sequences."""
+    return packing.packed(docs, common.tokenizer_path())
+
+
+STAGES = [("quality classifier", quality_stage), ("MinHash near-dedup", dedup_stage), ("secret scan", secrets_stage), ("packing", packing_stage)]
+
+#: The classifier cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
