@@ -5,12 +5,14 @@
    sets share, the fewer bits differ; BITS log-corrected differing bits estimate high similarities closely.
 2. Texts of equal sets are one class, whose smallest id stands for it; digests are pre-aggregated, so a group of
    copies costs a row a partition.
-3. In each band's bucket, every class is a candidate of the bucket's smallest one: as many pairs as members. Pairs
-   whose sketches differ too much (five standard deviations beyond the threshold) go; the others are confirmed on
-   full sets. Confirmed links give components by alternating stars.
-4. A bucket whose classes are by now in one component needs no more. In the others, classes of different components
-   are compared, sketch against sketch, block by block; what may be similar is confirmed too. So each candidate pair
-   is either compared or already joined, and no bucket is collected whole or expanded into all its pairs.
+3. In each band's bucket, every class is a candidate of the bucket's centre, the first in one of CENTRES orders: as
+   many pairs as members. Pairs whose sketches differ too much (five standard deviations beyond the threshold) go;
+   the others are confirmed on full sets. Confirmed links give components by alternating stars.
+4. A bucket whose classes are by now in one component needs no more. The others are compared block by block: of
+   classes in different components, in the first bucket that they share, sketch against sketch and, where those are
+   near, set against set, the nearest first; a link joins components there and then, so that a block gives fewer
+   links than it has members. So each candidate pair is either compared or already joined, and no bucket is
+   collected whole or expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from . import common
 
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
-BLOCK = 1024
+BLOCK, CENTRES = 512, 8
 _draw = np.random.default_rng(20240501)
 ODD = _draw.integers(0, 2**63, 8, dtype="uint64") * np.uint64(2) + np.uint64(1)
 A = (_draw.integers(0, 2**31, SAMPLES, dtype="uint64") * np.uint64(2) + np.uint64(1)).astype("uint32")
@@ -125,25 +127,35 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["id", "found"])
 
 
+def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """100 * intersection >= least * union, of two sets as sorted arrays."""
+    if 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    place = np.searchsorted(a, b)
+    both = int((a[np.minimum(place, len(a) - 1)] == b).sum())
+    return 100 * both >= least * (len(a) + len(b) - both)
+
+
 def confirmed(least: int):
-    """Keeps the pairs with 100 * intersection >= least * union."""
+    """Keeps the pairs that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for a, b in zip(batch["x"], batch["y"], strict=True):
-                a, b = np.frombuffer(a.as_buffer(), "uint64"), np.frombuffer(b.as_buffer(), "uint64")
-                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= least * max(len(a), len(b)) else 0
-                linked.append(100 * both >= least * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            keep = [linked(np.frombuffer(a.as_buffer(), "uint64"), np.frombuffer(b.as_buffer(), "uint64"), least) for a, b in zip(batch["x"], batch["y"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, found) for the wanted ids, a written table; texts come in once for each row, so that repeated rows give repeated sets, which do no harm."""
+    own = docs.select("id", "text").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    return common.written(own.mapInArrow(sets, "id long, found binary"), "sets")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) that are links by the full sets of docs(id, text). Texts come in once for each id; a class that is in many pairs is a skewed join's key, which Spark splits."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = common.written(docs.select("id", "text").join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(sets, "id long, found binary"), "sets")
+    """The pairs (a, b) that are links by the full sets of docs(id, text). A class that is in many pairs is a skewed join's key, which Spark splits."""
+    own = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     x, y = own.select(F.col("id").alias("a"), F.col("found").alias("x")), own.select(F.col("id").alias("b"), F.col("found").alias("y"))
     links = common.written(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(confirmed(least), "a long, b long").distinct(), "links")
     common.drop(own)
@@ -190,18 +202,41 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def compared(limit: int):
+def compared(limit: int, least: int):
+    """The links that a block of a bucket adds: rows (band, number, i, j, id, block, root, sketch, bands, found)."""
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = rows.sort_values("id")
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        x, y = (np.stack(r["sketch"].to_numpy()).view("uint64") if len(r) else np.zeros((0, BITS // 64), "uint64") for r in (left, right))
+        i, j = key[1:]
+        left, right = (r.sort_values("id") for r in (rows[rows["block"] == i], rows[rows["block"] == j]))
+        number, none = int(rows["number"].iloc[0]), pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
+        if not len(left) or not len(right):
+            return none
+        (x, m), (y, n) = ((np.stack(r["sketch"].to_numpy()).view("uint64"), np.stack(r["bands"].to_numpy())) for r in (left, right))
         differ = np.zeros((len(x), len(y)), "int32")
         for k in range(BITS // 64):
             differ += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-        a, b = np.nonzero((differ <= limit) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]))
-        a, b = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        roots = left["root"].to_numpy(), right["root"].to_numpy()
+        a, b = np.nonzero((differ <= limit) & (roots[0][:, None] != roots[1][None, :]))
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        first = (m[a] == n[b]).argmax(axis=1) == number if len(a) else np.zeros(0, bool)
+        a, b = a[first], b[first]
+        order = np.argsort(differ[a, b], kind="stable")
+        parent: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while (up := parent.get(k, k)) != k:
+                k = up
+            return k
+
+        sets = [[np.frombuffer(f, "uint64") for f in r["found"]] for r in (left, right)]
+        found = []
+        for u, v in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            p, q = root(roots[0][u]), root(roots[1][v])
+            if p != q and linked(sets[0][u], sets[1][v], least):
+                parent[max(p, q)] = min(p, q)
+                found.append((left["id"].iloc[u], right["id"].iloc[v]))
+        return pd.DataFrame(found, columns=["a", "b"]) if found else none
 
     return run
 
@@ -218,9 +253,10 @@ def groups(docs: DataFrame, least: int = 75) -> DataFrame:
     classes = rows.where("n_shingles > 0").groupBy("content").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = common.written(classes, "classes")
     sketches = classes.select("id", "sketch")
-    buckets = classes.select("id", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = buckets.join(shared, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    buckets = classes.select("id", F.posexplode("bands").alias("number", "band"))
+    first = F.struct(F.xxhash64("id", F.col("number") % CENTRES), F.col("id"))
+    shared = buckets.groupBy("band").agg(F.min(first)["id"].alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = buckets.join(shared, "band").where("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
     limit = most_differing(least / 100)
     near = stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
     near = common.written(near.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n) <= limit).select("a", "b"), "near")
@@ -233,13 +269,14 @@ def groups(docs: DataFrame, least: int = 75) -> DataFrame:
     placed = rooted(buckets)
     open_ = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low < high")
     open_ = open_.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = placed.join(open_, "band").withColumn("block", F.expr("cast(pmod(xxhash64(id, band), n_blocks) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("band", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sketches, "id")
-    more = dealt.groupBy("band", "i", "j").applyInPandas(compared(limit), "a long, b long").distinct()
-    more = common.written(more.join(near, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(confirm(more, docs, least)))
+    dealt = common.written(placed.join(open_, "band").withColumn("block", F.expr("cast(pmod(xxhash64(id, band), n_blocks) as int)")), "open")
+    if not dealt.isEmpty():
+        own = full_sets(dealt.select("id").distinct(), docs)
+        other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+        blocks = dealt.withColumn("other", other).select("band", "number", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        blocks = blocks.join(classes.select("id", "sketch", "bands"), "id").join(own, "id")
+        more = blocks.groupBy("band", "i", "j").applyInPandas(compared(limit, least), "a long, b long")
+        roots = components(common.written(links.unionByName(more), "links"))
     heads = rooted(classes.select("content", "id")).select("content", F.col("root").alias("component_id"))
     return rows.select("id", "n_shingles", "content").join(heads, "content", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
