@@ -53,7 +53,7 @@ def write_edges(edges: DataFrame, path: str) -> None:
 def recode_school(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, time): lines of three tokens with recoded times; other lines are left out."""
     found = tokens(lines(spark, path)).where(F.size("tok") == 3)
-    return found.select(F.col("tok")[0].cast("long").alias("src"), F.col("tok")[1].cast("long").alias("dst"), recoded_time(F.col("tok")[2].cast("double")).alias("time"))
+    return found.select(F.col("tok")[0].cast("long").alias("src"), F.col("tok")[1].cast("long").alias("dst"), recoded_time(F.expr("try_cast(tok[2] as double)")).alias("time"))
 
 
 def last_by_line(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
