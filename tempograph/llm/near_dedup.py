@@ -8,11 +8,11 @@
 3. In each band's bucket, every class is a candidate of the bucket's centre, the first in one of CENTRES orders: as
    many pairs as members. Pairs whose sketches differ too much (five standard deviations beyond the threshold) go;
    the others are confirmed on full sets. Confirmed links give components by alternating stars.
-4. A bucket whose classes are by now in one component needs no more. The others are compared block by block: of
-   classes in different components, in the first bucket that they share, sketch against sketch and, where those are
-   near, set against set, the nearest first; a link joins components there and then, so that a block gives fewer
-   links than it has members. So each candidate pair is either compared or already joined, and no bucket is
-   collected whole or expanded into its pairs.
+4. A bucket whose classes are by now in one component needs no more. In the others, all that is outside the largest
+   component is compared with all of the bucket, block by block: classes of different components, in the first
+   bucket that they share, sketch against sketch and, where those are near, set against set, the nearest first; a
+   link joins components there and then, so that a block gives fewer links than it has members. So each candidate
+   pair is either compared or already joined, and no bucket is collected whole or expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes of words; the table starts anew when it has grown beyond a million."""
+    """Hashes of words; the table starts anew when it has grown beyond 300,000."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -53,7 +53,7 @@ class Words:
     def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         new = list(set(words).difference(self.known))
         self.known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
@@ -110,7 +110,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     names = ["id", "n_shingles", "content", "bands", "sketch"]
-    for batch in batches:
+    for batch in common.slices(batches):
         out: list[list] = [[], [], [], []]
         for text in batch["text"].to_pylist():
             found = shingles(text)
@@ -123,7 +123,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches):
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array([shingles(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["id", "found"])
 
 
@@ -140,7 +140,7 @@ def confirmed(least: int):
     """Keeps the pairs that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             keep = [linked(np.frombuffer(a.as_buffer(), "uint64"), np.frombuffer(b.as_buffer(), "uint64"), least) for a, b in zip(batch["x"], batch["y"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -267,13 +267,16 @@ def groups(docs: DataFrame, least: int = 75) -> DataFrame:
         return df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     placed = rooted(buckets)
-    open_ = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low < high")
-    open_ = open_.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = common.written(placed.join(open_, "band").withColumn("block", F.expr("cast(pmod(xxhash64(id, band), n_blocks) as int)")), "open")
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("n > 2 and parts > 1")
+    size = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = open_.select("band", F.col("main.root").alias("main"), size(F.col("main.n")).alias("n_main"), size(F.col("n") - F.col("main.n")).alias("n_other"))
+    block = F.expr("cast(if(root = main, -1 - pmod(xxhash64(id, band), n_main), pmod(xxhash64(id, band), n_other)) as int)")
+    dealt = common.written(placed.join(open_, "band").withColumn("block", block), "open")
     if not dealt.isEmpty():
         own = full_sets(dealt.select("id").distinct(), docs)
-        other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-        blocks = dealt.withColumn("other", other).select("band", "number", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        blocks = dealt.withColumn("with", F.explode(F.expr("concat(sequence(0, n_other - 1), if(block < 0, array(), sequence(-n_main, -1)))")))
+        blocks = blocks.select("band", "number", "id", "root", "block", F.expr("if(block < 0 or with >= 0 and with < block, with, block)").alias("i"), F.expr("if(block < 0 or with >= 0 and with < block, block, with)").alias("j"))
         blocks = blocks.join(classes.select("id", "sketch", "bands"), "id").join(own, "id")
         more = blocks.groupBy("band", "i", "j").applyInPandas(compared(limit, least), "a long, b long")
         roots = components(common.written(links.unionByName(more), "links"))
