@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Letters and punctuation for which lower case and NFC act on each character alone; no apostrophe, no digit.
 SIMPLE = re.compile(r"^(([A-Za-zÀ-ÖØ-öø-ÿ]{1,200})([!-&(-/:-@\[-`{-~]*))$", re.MULTILINE)
 AGREE = 8
@@ -33,10 +35,10 @@ class Encoder:
 
     If the tokenizer drops white space and looks at nothing beyond it, a text's ids are the ids of its chunks
     between blanks, which are remembered in two tables (whole chunks; lower-cased letter runs). A table that has
-    grown beyond `limit` entries, a few hundred megabytes, starts anew.
+    grown beyond `limit` entries, or 0.7 of that for letter runs, some hundred megabytes, starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,7 +74,7 @@ class Encoder:
 
     def learn(self, new: set[str]) -> None:
         """Enter new chunks. Those of letters and punctuation are made of their two parts' ids; all steps but the library's go over whole lists."""
-        if len(self.stems) > self.limit:
+        if len(self.stems) > 0.7 * self.limit:
             self.stems = {"": b""}
         found = SIMPLE.findall("\n".join(new))
         wholes = [f[0] for f in found]
@@ -203,7 +205,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, decode: bool = True, leaf: int
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in batches:
+        for batch in common.slices(batches):
             if batch.num_rows:
                 yield result(coder, batch["id"].to_pylist(), coder.encode(batch["text"].to_pylist()))
 
@@ -219,7 +221,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, decode: bool = True, leaf: int
         text, cuts = "".join(pieces["piece"]), np.cumsum([0, *pieces["piece"].str.len()]).tolist()
         spans = [unfolded(x) + [0, at, at] for x, at in zip(pieces["spans"], cuts, strict=False)]
         ids = coder.tree(text, spans, cuts)[:, 0].astype("<u4").tobytes()
-        return result(coder, [pieces["id"].iloc[0]], [ids]).to_pandas()
+        key = pieces["id"].iloc[0]
+        return result(coder, [None if pd.isna(key) else int(key)], [ids]).to_pandas()
 
     rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     near = rows.where(F.length("text") <= leaf).mapInArrow(short, schema)

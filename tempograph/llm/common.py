@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,13 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column's name that df does not have yet."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def distinct_contents(df: DataFrame, key: str, seen: DataFrame | None) -> DataFrame:
     """One row (key, text) for each distinct `key` of df(id, key, text) that is not in seen(key).
 
@@ -70,5 +79,12 @@ def distinct_contents(df: DataFrame, key: str, seen: DataFrame | None) -> DataFr
     return rows.join(carriers, F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col(f"r.{key}") == F.col(f"c.{key}"))).select(f"r.{key}", "r.text")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, which bound what a worker holds as Python objects; an empty batch as it is."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def crc_fold(doc_id: int, folds: int = 5) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds

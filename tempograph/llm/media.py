@@ -62,25 +62,19 @@ def stored(docs: DataFrame) -> DataFrame:
     """(id, n_bytes, media) of docs(id, text): the text's UTF-8, null as empty, as lossless pictures; one row a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                raw = [t.as_buffer().to_pybytes() for t in part["text"]]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(x) for x in raw], pa.int64()), pa.array([store(padded(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
+        for batch in common.slices(batches):
+            raw = [t.as_buffer().to_pybytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in raw], pa.int64()), pa.array([store(padded(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
 
     return docs.select("id", common.text_of(docs).alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def read_back(media: DataFrame) -> DataFrame:
     """media(id, n_bytes, media) with the payload's digests and features, all from the decoded pixels."""
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out: list[list] = [[] for _ in names[2:]]
             for m in batch["media"]:
                 raw = m.as_buffer().to_pybytes()

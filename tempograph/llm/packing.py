@@ -81,7 +81,8 @@ def pack(pieces: DataFrame, capacity: int, group: int = 512) -> DataFrame:
     group: the mean number of pieces that are divided together, which bounds a task's memory and time.
     """
     groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // group))
-    dealt = pieces.withColumn("g", F.expr(f"pmod(xxhash64(doc_id, start), {groups})"))
+    # rows without an id are dealt apart: beside nulls, pandas would hold other ids as floats
+    dealt = pieces.withColumn("g", F.expr(f"pmod(xxhash64(doc_id, start), {groups}) * 2 + int(doc_id is null)"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable")
@@ -107,7 +108,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last, step = bpe.encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in common.slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"].to_pylist()), strict=True):
                 ids += last

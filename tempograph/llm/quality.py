@@ -118,8 +118,11 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x, counts = encode(texts)
-        return self.forward(x, counts)["p"].astype("float64")
+        parts = []
+        for at in range(0, len(texts), 500):
+            x, counts = encode(texts[at : at + 500])
+            parts.append(self.forward(x, counts)["p"].astype("float64"))
+        return np.concatenate(parts)
 
 
 def fold_of(doc_id: Column) -> Column:

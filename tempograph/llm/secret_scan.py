@@ -45,7 +45,7 @@ def find(text: str, kinds: Iterator | tuple = RULES) -> list[tuple[str, int, int
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(blob, text) to (blob, spans); a linear-time search first tells which rules a text needs."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in common.slices(batches):
         likely = [pc.match_substring_regex(batch["text"], r[4]).to_numpy(zero_copy_only=False) for r in RULES]
         spans: list[list] = [[]] * batch.num_rows
         for i in {int(i) for hit in likely for i in hit.nonzero()[0]}:
@@ -68,19 +68,25 @@ class BlobLedger:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
-    def scan(self, versions: DataFrame) -> DataFrame:
-        """(id, blob, spans) of versions(id, text), one row a version; null text: empty.
-
-        Only blobs that this ledger has not seen under the present rules are scanned. Repeated rows give repeated
-        rows; an empty table gives none; further columns are left out.
-        """
+    def update(self, versions: DataFrame) -> DataFrame:
+        """Scan the blobs of versions(id, text) that this ledger has not seen under the present rules; (id, blob) of all versions."""
         known = self.rows().where(F.col("rule_version") == VERSION)
         paths = versions.select("id", F.unhex(F.sha2(common.text_of(versions), 256)).alias("blob"), common.text_of(versions).alias("text"))
         unseen = common.distinct_contents(paths, "blob", known)
         found = unseen.mapInArrow(scan, f"blob binary, spans {SPANS}").dropDuplicates(["blob"])
         found.select(F.lit(VERSION).alias("rule_version"), "blob", "spans").write.mode("append").parquet(self.path)
-        findings = self.rows().where(F.col("rule_version") == VERSION).select("blob", "spans").dropDuplicates(["blob"])
-        return paths.select("id", "blob").join(findings, "blob", "left")
+        return paths.select("id", "blob")
+
+    def findings(self) -> DataFrame:
+        """(blob, spans) under the present rules, each blob once."""
+        return self.rows().where(F.col("rule_version") == VERSION).select("blob", "spans").dropDuplicates(["blob"])
+
+    def scan(self, versions: DataFrame) -> DataFrame:
+        """(id, blob, spans) of versions(id, text), one row a version; null text: empty.
+
+        Repeated rows give repeated rows; an empty table gives none; further columns are left out.
+        """
+        return self.update(versions).join(self.findings(), "blob", "left")
 
 
 def written_spans(spans: str) -> F.Column:
@@ -99,18 +105,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """The documents with each found span (overlapping ones as one) replaced by `mark` and n_chars to fit; all columns stay. Null text stays null."""
     spark = docs.sparkSession
-    found = BlobLedger(spark).scan(docs.select(F.col("doc_id").alias("id"), "text")).where(F.size("spans") > 0)
-    found = found.select("blob", "spans").dropDuplicates(["blob"])
+    ledger = BlobLedger(spark)
+    ledger.update(docs.select(F.col("doc_id").alias("id"), "text"))
+    found = common.written(ledger.findings().where(F.size("spans") > 0), "secrets")  # its size is known then, and Spark broadcasts it if it is small
     schema = docs.schema
 
     @F.pandas_udf("string")
     def cover(texts, spans):
         return texts.combine(spans, lambda text, own: text if own is None or text is None else covered(text, [(s["start"], s["end"]) for s in own], mark))
 
-    blob = F.unhex(F.sha2(common.text_of(docs), 256))
-    joined = docs.withColumn("__blob", blob).join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
-    clean = joined.where(F.col("__spans").isNull()).select(docs.columns)
-    hit = joined.where(F.col("__spans").isNotNull()).withColumn("text", cover("text", "__spans"))
+    blob, spans = (common.free_name(docs, n) for n in ("blob", "spans"))
+    joined = docs.withColumn(blob, F.unhex(F.sha2(common.text_of(docs), 256))).join(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
+    clean = joined.where(F.col(spans).isNull()).select(docs.columns)
+    hit = joined.where(F.col(spans).isNotNull()).withColumn("text", cover("text", spans))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return clean.unionByName(hit.select(docs.columns))

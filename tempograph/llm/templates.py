@@ -19,9 +19,8 @@ import re
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any, NamedTuple
 
-MARKUP = re.compile(r"(\{\{-?|\{%-?|\{#-?)(.*?)(-?\}\}|-?%\}|-?#\})", re.DOTALL)
+MARKUP = re.compile("|".join(rf"(\{{{a}-?)(.*?)(-?{b}\}})" for a, b in ((r"\{", r"\}"), ("%", "%"), ("#", "#"))), re.DOTALL)
 TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>|.,()\[\]=]))", re.DOTALL)
-CLOSES = {"{{": "}}", "{%": "%}", "{#": "#}"}
 ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 FILTERS: dict[str, Callable[[Any], Any]] = {
     "upper": lambda x: text(x).upper(), "lower": lambda x: text(x).lower(), "trim": lambda x: text(x).strip(),
@@ -57,9 +56,7 @@ class Parser:
     def split(self, source: str) -> list[tuple[str, str]]:
         parts, at, strip = [], 0, False
         for m in MARKUP.finditer(source):
-            opening, body, closing = m.groups()
-            if closing.lstrip("-") != CLOSES[opening.rstrip("-")]:
-                raise TemplateError(f"{opening} closed by {closing}")
+            opening, body, closing = (g for g in m.groups() if g is not None)
             before = source[at : m.start()]
             before = before.lstrip() if strip else before
             parts.append(("text", before.rstrip() if opening.endswith("-") else before))
