@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import words
+from awkward import words
 from tempograph.llm import near_dedup
 from tempograph.llm.queries import queries
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from conftest import TEXTS, words
+from awkward import TEXTS, words
 from tempograph.llm import bpe, common, packing, secret_scan, token_counts
 from tempograph.llm.queries import queries
 
