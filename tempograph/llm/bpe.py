@@ -49,21 +49,27 @@ class Encoder:
             config = json.load(f)
         self.by_chunk = drops_blanks(config)
         self.limit = limit
-        size = self.tok.get_vocab_size()
-        self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
-        self.digits = [str(i) for i in range(size)]
         special = {t["id"] for t in config["added_tokens"]}
         self.ends = np.array([n.endswith("</w>") or i in special for i, n in enumerate(self.names)])
+        del self.names  # most uses need the ends only
         self.chunks: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
 
+    @functools.cached_property
+    def names(self) -> list[str]:
+        return [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+
+    @functools.cached_property
+    def digits(self) -> list[str]:
+        return [str(i) for i in range(self.tok.get_vocab_size())]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.by_chunk:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         out = []
         for group in groups(texts, 1 << 21):
-            cut = [t.replace("\n", " ").split(" ") for t in group]
+            cut = [lowered(t).replace("\n", " ").split(" ") for t in group]
             if len(self.chunks) > self.limit:
                 self.chunks = {"": b""}
             if new := set().union(*cut).difference(self.chunks):
@@ -138,6 +144,17 @@ class Encoder:
         return pieces[0]
 
 
+def lowered(text: str) -> str:
+    """In lower case, so that fewer chunks differ, if that cannot matter: up to U+00FF each letter changes alone and NFC nothing; special strings must stay as they are."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def drops_blanks(config: dict) -> bool:
     """Whether white space is dropped and nothing looks across it, by the tokenizer's own description."""
     normal = config.get("normalizer") or {}
@@ -179,9 +196,9 @@ def groups(texts: list[str], most: int) -> Iterator[list[str]]:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = 1_000_000) -> Encoder:
     """One encoder a worker process, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, limit)
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, decode: bool = True, leaf: int = 32_768) -> DataFrame:

@@ -45,7 +45,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes of words; the table starts anew when it has grown beyond 300,000."""
+    """Hashes of words; the table starts anew when it has grown beyond 100,000."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -53,7 +53,7 @@ class Words:
     def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         new = list(set(words).difference(self.known))
         self.known.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
@@ -219,8 +219,10 @@ def compared(limit: int, least: int):
         a, b = np.nonzero((differ <= limit) & (roots[0][:, None] != roots[1][None, :]))
         if i == j:
             a, b = a[a < b], b[a < b]
-        first = (m[a] == n[b]).argmax(axis=1) == number if len(a) else np.zeros(0, bool)
-        a, b = a[first], b[first]
+        earlier = np.zeros(len(a), bool)
+        for k in range(number):
+            earlier |= m[a, k] == n[b, k]
+        a, b = a[~earlier], b[~earlier]
         order = np.argsort(differ[a, b], kind="stable")
         parent: dict[int, int] = {}
 

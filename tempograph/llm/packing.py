@@ -103,11 +103,14 @@ def pack(pieces: DataFrame, capacity: int, group: int = 512) -> DataFrame:
     return dealt.groupBy("g").applyInPandas(one, f"{PIECES}, offset long, sequence_id long").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """PIECES of docs(doc_id, text): each text's ids and then end_id, cut at multiples of the capacity. Null or empty text: the end id alone."""
+def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, memo: int) -> DataFrame:
+    """PIECES of docs(doc_id, text): each text's ids and then end_id, cut at multiples of the capacity. Null or empty text: the end id alone.
+
+    memo: entries that an encoder remembers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, last, step = bpe.encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        coder, last, step = bpe.encoder(tokenizer, memo), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in common.slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"].to_pylist()), strict=True):
@@ -121,9 +124,9 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInArrow(run, PIECES)
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, memo: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text, ...) as packed pieces. The pieces, a few numbers each, are written once, so that no text is encoded twice."""
-    return pack(common.written(cut(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(common.written(cut(docs, tokenizer, capacity, end_id, memo), "pieces"), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

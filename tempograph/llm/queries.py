@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import sql
 from .ann import op7_nearest_neighbours
 from .chat_format import op8_chat_format
 from .media import op9_lossless_webp
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.sql()}
+    return sql.all_()

@@ -27,7 +27,7 @@ BASE = (
 #: Further public formats of credentials, added to the base kinds.
 MORE = (
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0, 0, r"eyJ[A-Za-z0-9_-]{8,}\."),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"), 0, 0, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\x20\t\r\n]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"), 0, 0, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     ("prefixed", re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"), 0, 0, r"(gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9]"),
 )
 RULES = BASE + MORE

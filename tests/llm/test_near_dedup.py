@@ -132,3 +132,15 @@ def test_shingles():
     assert len(near_dedup.shingles("a b c d e a b c d e")) == 5
     assert near_dedup.shingles("\x1ca b") != near_dedup.shingles("a b")
     assert near_dedup.linked(np.arange(4, dtype="uint64"), np.arange(3, dtype="uint64"), 75) and not near_dedup.linked(np.arange(5, dtype="uint64"), np.arange(3, dtype="uint64"), 75)
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    from tempograph.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    names = ["doc_id", "n_shingles", "component_id", "kept"]
+    expected = sorted(con.execute(f"select {', '.join(names)} from ({oracle_sql()['op10_near_dedup']})").fetchall())
+    assert sorted(map(tuple, queries()["op10_near_dedup"](spark, "/root/testdata/sf0.01").select(*names).collect())) == expected

@@ -40,7 +40,7 @@ def test_stages(spark):
 def test_run_equals_its_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
-    direct = packing.packed(secret_scan.redacted(near_dedup.kept(quality.kept(docs, model))), common.tokenizer_path())
+    direct = packing.packed(secret_scan.redacted(near_dedup.kept(quality.kept(docs, model))), common.tokenizer_path(), memo=50_000)
     a, b = (Counter(map(tuple, x.select("doc_id", "start", "length", "ids_crc32").collect())) for x in (corpus_pipeline.run(spark, DATA), direct))
     assert a == b and corpus_pipeline.ORACLE_SQL is None
 
