@@ -12,22 +12,26 @@ from tempograph.llm import common, near_dedup, packing, quality, secret_scan
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones of them, does not reject."""
+    common.small_batches(spark)
     return quality.kept(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    common.small_batches(spark)
     return near_dedup.kept(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret that was found replaced by a mark."""
+    common.small_batches(spark)
     return secret_scan.redacted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in packed sequences."""
-    return packing.packed(docs, common.tokenizer_path())
+    """The documents' pieces with their places in packed sequences; the encoder remembers less than it does alone, as workers also hold the other stages' tables."""
+    common.small_batches(spark)
+    return packing.packed(docs, common.tokenizer_path(), memo=60_000)
 
 
 STAGES = [("quality classifier", quality_stage), ("MinHash near-dedup", dedup_stage), ("secret scan", secrets_stage), ("packing", packing_stage)]
