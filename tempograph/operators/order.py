@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import written
+
 RANGE = "__range"
 
 
@@ -44,5 +46,5 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFra
 
 def dense_index(keys: DataFrame, key: str, index: str) -> DataFrame:
     """(key, index): distinct keys numbered from 0 in their order."""
-    found = ranged(keys.select(key).where(F.col(key).isNotNull()).distinct(), key)
+    found = ranged(written(keys.select(key).where(F.col(key).isNotNull()).distinct(), "keys"), key)
     return running(found, [key], {index: F.lit(1)}).select(key, (F.col(index) - 1).cast("long").alias(index))

@@ -29,18 +29,25 @@ def gram(cells: DataFrame) -> DataFrame:
     return a.join(b, ["t", "k"]).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("__a") * F.col("__b")).alias("val"))
 
 
-def gram_dense(cells: DataFrame, n: int) -> np.ndarray:
-    """The same on the driver, for n up to DENSE: each snapshot's product in one task, n * n numbers a snapshot, added as they arrive."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((n, n))
-        np.add.at(x, (rows["i"].to_numpy(), rows["j"].to_numpy()), rows["val"].to_numpy())
-        return pd.DataFrame({"g": [(x @ x.T).tobytes()]})
-
-    total = np.zeros((n, n))
-    for row in cells.groupBy("t").applyInPandas(one, "g binary").toLocalIterator():
-        total += np.frombuffer(row["g"]).reshape(n, n)
-    return total
+def gram_dense(cells: DataFrame, n: int, band: int = 256) -> np.ndarray:
+    """The same on the driver, for n up to DENSE: as many tasks as there are shuffle partitions add their snapshots' products,
+    bands of rows are added up across tasks, and n * n numbers come to the driver."""
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((n, n))
+        for _, part in rows.groupby("t"):
+            x = np.zeros((n, n))
+            np.add.at(x, (part["i"].to_numpy(), part["j"].to_numpy()), part["val"].to_numpy())
+            total += x @ x.T
+        return pd.DataFrame({"band": range(0, n, band), "g": [total[k : k + band].tobytes() for k in range(0, n, band)]})
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"band": rows["band"].iloc[:1], "g": [sum(np.frombuffer(g) for g in rows["g"]).tobytes()]})
+
+    parts = cells.groupBy(F.expr(f"pmod(t, {tasks})")).applyInPandas(own, "band long, g binary")
+    rows = parts.groupBy("band").applyInPandas(added, "band long, g binary").collect()
+    return np.concatenate([np.frombuffer(r["g"]).reshape(-1, n) for r in sorted(rows, key=lambda r: r["band"])]) if rows else np.zeros((n, n))
 
 
 def canonical(u: np.ndarray) -> np.ndarray:
