@@ -78,6 +78,12 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.orderBy("t", "node").select(F.concat_ws(" ", "node", "label").alias("value")).coalesce(1).write.text(path)
 
 
+def read_label_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(node, labels): all labels of a node in the file's order, whatever their time."""
+    rows = numbered(tokens(lines(spark, path))).select(F.col("tok")[0].cast("long").alias("node"), F.col("tok")[1].cast("long").alias("label"), "line")
+    return rows.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "label"))), lambda x: x["label"]).alias("labels"))
+
+
 def read_embeddings(spark: SparkSession, path: str, n: int | None = None, by_place: bool = False) -> DataFrame:
     """(t, node, emb): a header "n d", then blocks of n lines. n: the number of nodes if the header's does not hold.
 
@@ -133,6 +139,22 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return found.select("metric", part(1).cast("int").alias("run"), F.transform(F.split(part(2), r",\s*"), lambda x: x.cast("double")).alias("t_scores"), part(3).cast("double").alias("avg"))
 
 
+def write_runs(scores: DataFrame, path: str) -> None:
+    """scores(metric, run, t_scores, avg) as sections of runs in one file."""
+    shown = F.array_join(F.transform("t_scores", lambda x: F.format_string("%.4f", x)), ", ")
+    value = F.concat(F.format_string("Run %d: Time scores: [", "run"), shown, F.format_string("] | Average: %.12f", "avg"))
+    rows = scores.select("metric", F.col("run").cast("long").alias("run"), value.alias("value"))
+    head = scores.select("metric").distinct().select("metric", F.lit(-1).cast("long").alias("run"), F.concat(F.lit("### Metric: "), "metric", F.lit(" ###")).alias("value"))
+    head.unionByName(rows).orderBy("metric", "run").select("value").coalesce(1).write.text(path)
+
+
+def write_p_values(found: DataFrame, path: str, high: str, low: str) -> None:
+    """found(metric, pq, p, direction) as tab-separated lines."""
+    p = F.coalesce(F.format_string("%.12f", "p"), F.lit("nan"))
+    value = F.concat_ws("\t", "metric", "pq", F.concat(F.lit("p="), F.when(F.col("p").isNull(), F.lit("nan")).otherwise(p)), F.concat(F.lit(f"({high} "), "direction", F.lit(f" {low})")))
+    found.orderBy("metric", "pq").select(value.alias("value")).coalesce(1).write.text(path)
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """One row (k, pi, seed, p, q, label_mappings) of a model's description."""
     rows = lines(spark, path).withColumn("key", F.element_at(F.split("value", r"\s+"), 1)).withColumn("rest", F.trim(F.expr("substring(value, length(key) + 1)")))
