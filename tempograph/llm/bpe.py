@@ -205,7 +205,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, decode: bool = True, leaf: int
     """(id, n_tokens, ids, decoded) of docs(id, text): ids as little-endian unsigned 32-bit numbers in a binary, or, with decode, their digests.
 
     With decode: (id, n_tokens, ids_sha256, decoded_sha256). Null or empty text: no tokens and the digests of
-    nothing. Each row gives a row, repeated rows too. Texts over `leaf` (below 2**16) characters go by tree concatenation:
+    nothing. Each row gives a row, repeated rows and null ids too; an empty table gives none. Texts over `leaf` (below 2**16) characters go by tree concatenation:
     their pieces are dealt out, encoded in parallel, and joined where the text's pieces meet again.
     """
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if decode else "id long, n_tokens long, ids binary"

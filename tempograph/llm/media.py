@@ -59,7 +59,7 @@ def features(payload: bytes) -> str:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """(id, n_bytes, media) of docs(id, text): the text's UTF-8, null as empty, as lossless pictures; one row a row."""
+    """(id, n_bytes, media) of docs(id, text): the text's UTF-8, null as empty, as lossless pictures; one row a row, repeated rows too, ids may be null. An empty table gives none; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):

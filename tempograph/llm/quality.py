@@ -151,7 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def scorer(model: Model):
-    """The model as a function of a text column; null as the empty text."""
+    """The model as a function of a text column.
+
+    Null is the empty text, which is a bag of one empty passage; equal texts score alike; a model without any
+    training rows scores one half.
+    """
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -162,6 +166,7 @@ def scorer(model: Model):
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    """One row a row; held_out is null without an id. An empty table gives none. Only doc_id and text are read."""
     docs = common.table(spark, sf_dir, "documents")
     score = scorer(train(docs, common.table(spark, sf_dir, "labels")))
     found = docs.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), score(common.text_of(docs)).alias("score"))
