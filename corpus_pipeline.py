@@ -31,7 +31,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces with their places in packed sequences; the encoder remembers less than it does alone, as workers also hold the other stages' tables."""
     common.small_batches(spark)
-    return packing.packed(docs, common.tokenizer_path(), memo=60_000)
+    return packing.packed(docs, common.tokenizer_path(), memo=300_000)
 
 
 STAGES = [("quality classifier", quality_stage), ("MinHash near-dedup", dedup_stage), ("secret scan", secrets_stage), ("packing", packing_stage)]
