@@ -11,6 +11,7 @@ be spliced where they share one).
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import operator
 import os
@@ -67,15 +68,20 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.by_chunk:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for group in groups(texts, 1 << 21):
-            cut = [lowered(t).replace("\n", " ").split(" ") for t in group]
-            if len(self.chunks) > self.limit:
-                self.chunks = {"": b""}
-            if new := set().union(*cut).difference(self.chunks):
-                self.learn(new)
-            get = self.chunks.__getitem__
-            out += [b"".join(map(get, words)) for words in cut]
+        out, collects = [], gc.isenabled()
+        gc.disable()  # many short-lived objects, and no cycles among them
+        try:
+            for group in groups(texts, 1 << 21):
+                cut = [lowered(t).replace("\n", " ").split(" ") for t in group]
+                if len(self.chunks) > self.limit:
+                    self.chunks = {"": b""}
+                if new := set().union(*cut).difference(self.chunks):
+                    self.learn(new)
+                get = self.chunks.__getitem__
+                out += [b"".join(map(get, words)) for words in cut]
+        finally:
+            if collects:
+                gc.enable()
         return out
 
     def learn(self, new: set[str]) -> None:
