@@ -124,7 +124,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, memo: int)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInArrow(run, PIECES)
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, memo: int = 1_000_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, memo: int = 1_500_000) -> DataFrame:
     """docs(doc_id, text, ...) as packed pieces; null ids are kept, other columns are not read, an empty table gives no pieces. The pieces, a few numbers each, are written once, so that no text is encoded twice."""
     return pack(common.written(cut(docs, tokenizer, capacity, end_id, memo), "pieces"), capacity)
 
