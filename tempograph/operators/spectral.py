@@ -5,7 +5,7 @@ G = sum of L_t L_t', and V_t = L_t' U / sigma. So a snapshot's embedding is one
     UASE and ULSE-n2   Y_t = L_t' U sigma^-1/2
     ULSE-n1            Y_t = -S_t U sigma^-1/2, S_t = I - L_t   (its tiled U sigma^-1/2 taken away)
 Up to DENSE nodes, G comes to the driver (its size is checked: n * n numbers) and is solved there; beyond, the wanted
-vectors are found by subspace iteration, in which only matrices of n x (d + few) numbers move.
+vectors are found by eigen.greatest, iterated to a tolerance, in which only matrices of n x (d + few) numbers move.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import guarded_inverse_root
+from .eigen import Relations, dot, greatest, signed
 from .shared import written
 
 DENSE = 4096
@@ -56,38 +57,22 @@ def canonical(u: np.ndarray) -> np.ndarray:
     return u * np.where(u[top, np.arange(u.shape[1])] < 0, -1.0, 1.0)
 
 
-def dot(vector: str, width: int, weight: Column) -> Column:
-    """Sums of weight times each component of an array column, as an array: a matrix product in the JVM."""
-    return F.array(*[F.sum(weight * F.col(vector)[k]) for k in range(width)])
+def subspace(cells: DataFrame, nodes: DataFrame, d: int, rounds: int, seed: int, smallest: bool, bound: float) -> tuple[np.ndarray, DataFrame]:
+    """Singular values and vectors (i, u) without G, the d first of them to the tolerance of eigen.greatest, or NotConverged after
+    `rounds` rounds of G X by two sparse products. smallest: of -G, whose greatest are G's smallest. bound: G's norm, 0 if unknown."""
+    width, sign = d + 4, -1.0 if smallest else 1.0
+    cells = written(cells, "cells")
 
+    def apply(x: DataFrame, m: int) -> DataFrame:
+        across = cells.join(x, "i").groupBy("t", "j").agg(dot("u", m, F.col("val")).alias("u"))
+        return cells.join(across, ["t", "j"]).groupBy("i").agg(dot("u", m, sign * F.col("val")).alias("u"))
 
-def subspace(cells: DataFrame, nodes: DataFrame, d: int, rounds: int, seed: int, smallest: bool, bound: float) -> tuple[np.ndarray, DataFrame]:
-    """Singular values and vectors (i, u) without G: rounds of G X by two sparse products, each followed by an orthonormalisation
-    through the small matrix X'X, the only thing that comes to the driver. smallest: of bound * I - G, whose largest are G's smallest."""
-    width = d + 4
-    x = nodes.select("i", F.array(*[F.randn(seed + k) for k in range(width)]).alias("u"))
-    values = np.zeros(width)
-    for step in range(rounds + 1):
-        cross = x.agg(F.array(*[F.sum(F.col("u")[a] * F.col("u")[b]) for a in range(width) for b in range(a, width)]).alias("c")).first()["c"]
-        inner = np.zeros((width, width))
-        inner[np.triu_indices(width)] = cross
-        inner = inner + np.triu(inner, 1).T
-        lengths, turn = np.linalg.eigh(inner)
-        values = np.sqrt(np.maximum(lengths[::-1], 0))
-        basis = turn[:, ::-1] / np.maximum(values, 1e-150)
-        x = x.select("i", F.array(*[sum((F.col("u")[a] * float(basis[a, b]) for a in range(width)), F.lit(0.0)) for b in range(width)]).alias("u"))
-        if step == rounds:
-            break
-        across = cells.join(x, "i").groupBy("t", "j").agg(dot("u", width, F.col("val")).alias("u"))
-        back = cells.join(across, ["t", "j"]).groupBy("i").agg(dot("u", width, F.col("val")).alias("g"))
-        grown = x.join(back, "i", "left")
-        at = lambda k: F.coalesce(F.col("g")[k], F.lit(0.0))
-        x = written(grown.select("i", F.array(*[(bound * F.col("u")[k] - at(k)) if smallest else at(k) for k in range(width)]).alias("u")), "subspace")
-    found = bound - values if smallest else values
-    return np.sqrt(np.maximum(found, 0)), written(x, "subspace")
-
-
-def left_vectors(cells: DataFrame, nodes: DataFrame, n: int, d: int, smallest: bool, rounds: int = 30, seed: int = 5, bound: float = 0.0) -> DataFrame:
+    start = nodes.select("i", F.array(*[F.randn(seed + k) for k in range(width)]).alias("u"))
+    values, x = greatest(Relations(apply, start, ["i"], width), width, d, nodes.count(), rounds, scale=bound or None)
+    return np.sqrt(np.maximum(sign * values, 0)), signed(x, ["i"], len(values))
+
+
+def left_vectors(cells: DataFrame, nodes: DataFrame, n: int, d: int, smallest: bool, rounds: int = 1000, seed: int = 5, bound: float = 0.0) -> DataFrame:
     """(i, u): rows of U sigma^-1/2 for the d greatest singular values; or for d above the smallest one, descending."""
     spark = cells.sparkSession
     if n <= DENSE:
@@ -96,8 +81,8 @@ def left_vectors(cells: DataFrame, nodes: DataFrame, n: int, d: int, smallest: b
         pick = slice(max(0, n - d - 1), n - 1) if smallest else slice(0, d)
         u = u[:, pick] * np.array([guarded_inverse_root(s) for s in sigma[pick]])
         return spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "u": u.tolist()}), "i long, u array<double>")
-    sigma, x = subspace(cells, nodes, d + 1 if smallest else d, rounds, seed, smallest, bound)
-    pick = list(range(d, 0, -1)) if smallest else list(range(d))
+    sigma, x = subspace(cells, nodes, min(d + 1 if smallest else d, n), rounds, seed, smallest, bound)
+    pick = list(range(min(d, n - 1), 0, -1)) if smallest else list(range(min(d, n)))
     return x.select("i", F.array(*[F.col("u")[k] * guarded_inverse_root(float(sigma[k])) for k in pick]).alias("u"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphs import dense, embedding, random_edges, relation, snapshots
 from tempograph.operators import spectral
+from tempograph.operators.eigen import NotConverged
 from tempograph.plans.graphs import Graph
 
 
@@ -90,3 +91,20 @@ def test_nodes_without_edges_have_rows(spark):
     g = Graph(relation(spark, [(0, 1, 0.0), (1, 2, 0.0), (2, 3, 1.0), (0, 3, 1.0)]))
     found = spectral.uase(g.adjacency, g.nodes, g.rows, g.n, 2)
     assert found.count() == 8 and found.where(F.size("emb") != 2).count() == 0
+
+
+def test_iterated_smallest_vectors_are_those_of_the_whole_problem(spark, monkeypatch):
+    """Several hundred nodes in four groups: the same vectors with and without DENSE."""
+    draw, group = np.random.default_rng(4), np.repeat(range(4), [30, 48, 60, 102])
+    edges = [(i, j, float(t)) for t in range(2) for i in range(240) for j in range(i + 1, 240) if draw.random() < (0.3 if group[i] == group[j] else 0.01) or j == i + 1]
+    g = Graph(relation(spark, edges))
+    vectors = lambda: np.stack(spectral.left_vectors(g.n1(), g.nodes, g.n, 3, True, bound=8.0).toPandas().sort_values("i")["u"])
+    expected = vectors()
+    monkeypatch.setattr(spectral, "DENSE", 2)
+    np.testing.assert_allclose(vectors(), expected, atol=1e-6)
+
+
+def test_too_few_rounds_are_an_error(spark):
+    g = Graph(relation(spark, random_edges(11, n=60, length=2, share=0.1)))
+    with pytest.raises(NotConverged):
+        spectral.subspace(g.n1(), g.nodes, 3, 1, 5, True, 8.0)
