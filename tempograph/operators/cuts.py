@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import inverse_root
 from . import matrices
+from .eigen import Arrays, Relations, dot, greatest, signed
 from .order import ranged, running
 from .shared import written
 from .spectral import canonical
@@ -137,30 +138,28 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
     return chosen.select("t", "u", "weight").mapInPandas(spread, "t long, i long, ev double")
 
 
-def power_vector(apply, start: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
-    """(t, i, x): the dominant eigenvector of a linear map of relations (t, i, x), by the power method; the sign is aligned each round.
+def sparse_product(cells: pd.DataFrame, size: int):
+    """x to L x on the driver, from entries (row, col, val) in any order."""
+    cells = cells.sort_values("row")
+    row, col, val = (cells[c].to_numpy() for c in ("row", "col", "val"))
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
 
-    Only norms come to the driver, and every few rounds the vector is written to cut its lineage.
-    """
-    x = start
-    for k in range(rounds):
-        y = apply(x)
-        y = written(y, "power")
-        norm = y.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm")).first()["norm"] or 1.0
-        y = y.withColumn("x", F.col("x") / norm)
-        gap = y.join(x.select("t", "i", F.col("x").alias("__x")), ["t", "i"]).agg(F.sqrt(F.sum((F.col("x") - F.col("__x")) ** 2)).alias("g")).first()["g"]
-        x = y
-        if gap is not None and gap < tolerance:
-            break
-    return x
-
-
-def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: int, length: int, beta: float = 1.0, cost: float = 1.0, normalized: bool = False, dense: int = 4096, dims: int = 1) -> DataFrame:
+    def apply(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((size, x.shape[1]))
+        for k in range(x.shape[1]):
+            out[row[first], k] = np.add.reduceat(val * x[col, k], first)
+        return out
+
+    return apply
+
+
+def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: int, length: int, beta: float = 1.0, cost: float = 1.0, normalized: bool = False, dense: int = 4096, dims: int = 1, local: int = 4_000_000) -> DataFrame:
     """(t, i, ev) or, with dims > 1, (t, i, ev, dim): the vector that a method sweeps.
 
     diff: top of 3(n + 2 beta) C - L; laplacian: second-smallest of L; prod: top of C L C; fast: see fast_vector.
     C is the complete graph's Laplacian at each t. Up to `dense` rows of L the problem is solved on the driver
-    (dense * dense numbers at most); beyond, by the power method over relations, one dimension.
+    (dense * dense numbers at most); beyond, it is iterated to a tolerance (see eigen.greatest), on the driver where L
+    has no more than `local` entries and local / 40 rows, over relations otherwise.
     """
     if method == "fast":
         return fast_vector(adj, rows, n, length, beta, normalized=normalized)
@@ -182,27 +181,47 @@ def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: in
         made = rows.sparkSession.createDataFrame(out, "t long, i long, ev double, dim long")
         return made.drop("dim") if dims == 1 else made
     cells = written(cells, "supra")
+    size, skip = n * length, 1 if method == "laplacian" else 0
+    width, wanted = max(8, skip + dims + 4), skip + dims
+    bound = cells.groupBy("row").agg(F.sum(F.abs("val")).alias("s")).agg(F.max("s")).first()[0]
+    scale = bound * n * n if method == "prod" else bound
+    if size <= local // 40 and cells.count() <= local:
+        times_l = sparse_product(cells.toPandas(), size)
+
+        def complete(x: np.ndarray) -> np.ndarray:
+            y = x.reshape(length, n, -1)
+            return (n * y - y.sum(1, keepdims=True)).reshape(x.shape)
+
+        apply = {"diff": lambda x: coefficient * complete(x) - times_l(x), "laplacian": lambda x: -times_l(x), "prod": lambda x: complete(times_l(complete(x)))}[method]
+        found = canonical(greatest(Arrays(apply, np.random.default_rng(3).standard_normal((size, width))), width, wanted, size, 2000, scale=scale)[1])
+        t, i = np.divmod(np.arange(size), n)
+        out = pd.concat([pd.DataFrame({"t": t, "i": i, "ev": found[:, skip + k], "dim": k}) for k in range(dims)])
+        made = rows.sparkSession.createDataFrame(out, "t long, i long, ev double, dim long")
+        return made.drop("dim") if dims == 1 else made
 
-    def times_l(x: DataFrame) -> DataFrame:
-        flat = x.select((F.col("t") * n + F.col("i")).alias("col"), "x")
-        y = cells.join(flat, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("x"))
-        return y.select(F.floor(F.col("row") / n).alias("t"), (F.col("row") % n).alias("i"), "x")
-
-    def plus(x: DataFrame, y: DataFrame, a: float, b: float) -> DataFrame:
-        return x.select("t", "i", (a * F.col("x")).alias("x")).unionByName(y.select("t", "i", (b * F.col("x")).alias("x"))).groupBy("t", "i").agg(F.sum("x").alias("x"))
+    def product(x: DataFrame, m: int) -> DataFrame:
+        return cells.join(x.withColumnRenamed("row", "col"), "col").groupBy("row").agg(dot("u", m, F.col("val")).alias("u"))
 
-    bound = cells.groupBy("row").agg(F.sum(F.abs("val")).alias("s")).agg(F.max("s")).first()[0]
+    def completed(x: DataFrame, m: int) -> DataFrame:
+        x = x.withColumn("t", F.floor(F.col("row") / n))
+        total = x.groupBy("t").agg(dot("u", m, F.lit(1.0)).alias("__sum"))
+        return x.join(total, "t").select("row", F.zip_with("u", "__sum", lambda a, b: n * a - b).alias("u"))
 
-    def centred(x: DataFrame) -> DataFrame:
-        mean = x.agg(F.avg("x").alias("__m"))
-        return x.join(F.broadcast(mean)).select("t", "i", (F.col("x") - F.col("__m")).alias("x"))
+    def difference(x: DataFrame, m: int) -> DataFrame:
+        both = completed(x, m).join(product(x, m).withColumnRenamed("u", "__l"), "row")
+        return both.select("row", F.zip_with("u", "__l", lambda a, b: coefficient * a - b).alias("u"))
 
     apply = {
-        "diff": lambda x: plus(complete_apply(x, n), times_l(x), coefficient, -1.0),
-        "prod": lambda x: complete_apply(times_l(complete_apply(x, n)), n),
-        "laplacian": lambda x: centred(plus(x, times_l(x), bound, -1.0)),
+        "diff": difference,
+        "prod": lambda x, m: completed(product(completed(x, m), m), m),
+        "laplacian": lambda x, m: product(x, m).select("row", F.transform("u", lambda a: -a).alias("u")),
     }[method]
-    return power_vector(apply, rows.withColumn("x", F.randn(3))).select("t", "i", F.col("x").alias("ev"))
+    start = rows.select((F.col("t") * n + F.col("i")).alias("row"), F.array(*[F.randn(3 + k) for k in range(width)]).alias("u"))
+    values, x = greatest(Relations(apply, start, ["row"], width), width, wanted, size, 2000, scale=scale)
+    x = signed(x, ["row"], len(values)).select(F.floor(F.col("row") / n).alias("t"), (F.col("row") % n).alias("i"), "u")
+    if dims == 1:
+        return x.select("t", "i", F.col("u")[skip].alias("ev"))
+    return x.select("t", "i", F.posexplode(F.slice("u", skip + 1, dims)).alias("dim", "ev")).select("t", "i", "ev", F.col("dim").cast("long").alias("dim"))
 
 
 def widened(base: DataFrame, dims: int, seed: int = 7) -> DataFrame:

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphs import dense, random_edges, relation, snapshots
+from graphs import dense, embedding, random_edges, relation, snapshots
 from tempograph.operators import cuts
 from tempograph.operators.spectral import canonical
 from tempograph.plans.graphs import Graph
@@ -98,6 +99,15 @@ def test_vectors_dense_and_by_power_method(spark, case, method):
         assert powered @ m @ powered == pytest.approx(values[-1], rel=1e-2)
 
 
+@pytest.mark.parametrize("method", ["diff", "laplacian", "prod"])
+@pytest.mark.parametrize("local", [0, 4_000_000])
+def test_iterated_vectors_are_those_of_the_whole_problem(spark, method, local):
+    g = Graph(relation(spark, random_edges(6, n=12, length=4)))
+    vector = lambda dense: embedding(cuts.vector(method, g.adjacency, g.rows, g.times, 12, 4, dense=dense, local=local).withColumn("emb", F.array("ev")), (4, 12, 1)).reshape(-1)
+    whole, found = vector(4096), vector(1)
+    assert abs(whole @ found) == pytest.approx(1, abs=1e-8)
+
+
 def test_fast_vector_solves_the_whole_small_problem(spark, case):
     g, a, _ = case
     a = a.copy()
