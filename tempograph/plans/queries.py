@@ -297,8 +297,8 @@ def systematic_sample(spark, sf_dir):
 
 
 def cut_embedding(method: str, spark: SparkSession, sf_dir: str, normalized: bool = False) -> DataFrame:
-    """(t, i, ev, side) of a method's vector and of its sweep, on nations' trade, whose whole problem is small."""
-    g = Graph(nation_trade(spark, sf_dir).where("src <> dst and w >= 2").select("src", "dst", "time"))
+    """(t, i, ev, side) of a method's vector and of its sweep, on the whole co-supply graph."""
+    g = supply_graph(spark, sf_dir)
     found = written(cuts.vector(method, g.adjacency, g.rows, g.times, g.n, g.length, normalized=normalized), "vector")
     side = cuts.sides(cuts.sweep(found, g.adjacency, g.n, g.length - 1, normalized=normalized), g.rows)
     return found.join(side, ["t", "i"])

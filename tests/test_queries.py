@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry_module
-from tempograph.plans.queries import QUERIES, SQL
+from tempograph.plans.queries import QUERIES, SQL, supply_graph
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,3 +50,7 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry_module.queries())
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_cuts_are_of_the_whole_cosupply_graph(spark):
+    assert QUERIES["cut_laplacian"](spark, DATA).count() == supply_graph(spark, DATA).rows.count()
