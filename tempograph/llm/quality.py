@@ -6,7 +6,7 @@ hidden layer, and gets a weight from a gated attention layer (softmax over the b
 the weighted sum of the hidden vectors is scored by a logistic output. Only documents have labels.
 
 The model is fitted on the driver on at most `sample` labelled documents (those whose hashed ids are smallest),
-at most `bag` passages of each, evenly spread; scoring takes all passages of all documents.
+all passages of each; scoring takes all passages of all documents.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000, bag: int = 48) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, <label> 0 or 1), rows of fold 0 and null ids or labels left out.
 
     A document that occurs more than once, or with labels that differ, gives the bag and label of each pairing.
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         for part in parts:
             x, counts = encode(part["text"].tolist())
             ends = np.cumsum(counts)
-            own = [x[e - n : e][np.unique(np.linspace(0, n - 1, min(n, bag)).astype(int))].tobytes() for e, n in zip(ends, counts, strict=True)]
+            own = [x[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": own})
 
     found = rows.mapInPandas(bags, "doc_id long, y int, x binary").collect()

@@ -114,3 +114,11 @@ def test_a_vector_that_a_third_of_the_rows_hold(spark):
     hits = sum(len({v for v, _ in found[q]} & {v for v, _ in expected[q]}) for q in expected)
     assert set(found) == set(expected) and hits >= 0.9 * 10 * len(expected)
     assert [v for v, _ in found[900]] == list(range(0, 30, 3))
+
+
+def test_all_passages_of_a_long_text_are_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y: seen.extend(map(len, bags)))
+    docs = spark.createDataFrame([(k, "a word " * 6000) for k in range(20)], "doc_id long, text string")
+    quality.train(docs, docs.selectExpr("doc_id", "1 as quality"))
+    assert set(seen) == {70}
