@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import drop, new_path, shared_dir, written
+
+__all__ = ["drop", "new_path", "shared_dir", "written"]
+
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -34,34 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tempograph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tempograph/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: the rows as a table in the shared folder, so that a lost executor costs a re-read, not a re-run."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that written() made and that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text as a string, null as the empty one."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
@@ -83,10 +56,30 @@ def distinct_contents(df: DataFrame, key: str, seen: DataFrame | None) -> DataFr
     carriers = df.groupBy(key).agg(F.min("id").alias("id"))
     if seen is not None:
         carriers = carriers.join(seen.select(key), key, "left_anti")
-    rows, carriers = df.select("id", key, "text").alias("r"), carriers.alias("c").hint("shuffle_hash")
+    rows, carriers = df.select("id", key, "text").alias("r"), carriers.alias("c")
     return rows.join(carriers, F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col(f"r.{key}") == F.col(f"c.{key}"))).select(f"r.{key}", "r.text")
 
 
+def joined_back(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """rows(key, ...) with the columns of found(key, ...), nulls where it has none; one row a row.
+
+    Each batch's rows of one key travel together, as one row with lists, and are taken apart after the join: a key
+    that a third of all rows hold comes to its task as a row a batch, not as a row a row.
+    """
+    others = [f for f in rows.schema if f.name != key]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = pa.Table.from_batches([batch]).group_by(key, use_threads=False).aggregate([(f.name, "list") for f in others])
+                yield from own.select([key, *(f"{f.name}_list" for f in others)]).rename_columns([key, *(f.name for f in others)]).combine_chunks().to_batches()
+
+    schema = ", ".join([f"`{key}` {rows.schema[key].dataType.simpleString()}", *(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in others)])
+    joined = rows.mapInArrow(gathered, schema).join(found, key, "left")
+    rest = [c for c in joined.columns if c not in [f.name for f in others]]
+    return joined.select(*rest, F.explode(F.arrays_zip(*[F.col(f.name) for f in others])).alias("__row")).select(*[F.col(f"__row.{f.name}").alias(f.name) for f in others], *rest)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, which bound what a worker holds as Python objects; an empty batch as it is."""
     for batch in batches:
