@@ -62,7 +62,7 @@ class CountCache:
         return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("tokenizer") == version)
 
     def count(self, docs: DataFrame, tokenizer: str) -> DataFrame:
-        """(id, n_bytes, n_tokens) of docs(id, text), one row a row; null text: empty, no tokens. An empty table gives no rows."""
+        """(id, n_bytes, n_tokens) of docs(id, text), one row a row, repeated rows and null ids too; null text: empty, no tokens. An empty table gives no rows."""
         with open(tokenizer, "rb") as f:
             version = sha256(f.read()).hexdigest()
         text = common.text_of(docs)
@@ -71,10 +71,11 @@ class CountCache:
         found = missing.mapInArrow(counted(tokenizer), "content binary, n_tokens long").dropDuplicates(["content"])
         found.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(self.path)
         known = self.rows(version).select("content", "n_tokens").dropDuplicates(["content"])
-        return rows.select("id", "n_bytes", "content").join(known, "content", "left").select("id", "n_bytes", "n_tokens")
+        return common.joined_back(rows.select("id", "n_bytes", "content"), "content", known).select("id", "n_bytes", "n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
+    """One row a row of documents, through a cache that is new. Null text: no bytes, no tokens; null and repeated ids stay; an empty table gives none; only doc_id and text are read."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     found = CountCache(spark).count(docs, common.tokenizer_path())
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
