@@ -1,16 +1,19 @@
 """Quality scores by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE code points. Each passage is encoded from its own text (shares of
-character classes and of hashed pairs of classes, repeated and distinct words, word lengths), goes through a
-hidden layer, and gets a weight from a gated attention layer (softmax over the bag of w . (tanh(V h) * sigmoid(U h)));
-the weighted sum of the hidden vectors is scored by a logistic output. Only documents have labels.
-
-The model is fitted on the driver on at most `sample` labelled documents (those whose hashed ids are smallest),
-all passages of each; scoring takes all passages of all documents.
+A document is a bag of passages of PASSAGE code points. Each passage is encoded from its own text: shares of
+character classes and of hashed pairs of classes, repeated and distinct words, word lengths, and shares of hashed pairs
+of neighbouring code points and of hashed words, which tell letters and words apart in every script. The encoding goes
+through a learned hidden layer, and a gated attention layer gives the passage a weight (softmax over the bag of
+w . (tanh(V h) * sigmoid(U h))); the weighted sum of the hidden vectors is scored by a logistic output. Only documents
+have labels.
+
+The model is fitted on the driver on at most `sample` labelled documents (those whose hashed ids are smallest), whole
+ones, as many as together have at most `passages` passages; scoring takes all passages of all documents.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +26,18 @@ from . import common
 PASSAGE = 600
 CLASSES = 24
 PAIRS = 64
-SIZE = CLASSES + PAIRS + 5
+LETTERS = 160
+WORDS = 160
+#: Where each group of numbers begins: classes, pairs of classes, five figures of words, pairs of code points, words.
+FIGURES = CLASSES + PAIRS
+LETTERS_FROM = FIGURES + 5
+WORDS_FROM = LETTERS_FROM + LETTERS
+SIZE = WORDS_FROM + WORDS
 
 
 def class_table() -> np.ndarray:
-    """A class for each Latin-1 code point; others are read as a question mark's class of their own."""
-    table = np.full(256, 22, "int64")
+    """A class for each Latin-1 code point, and one, at 256, for all others."""
+    table = np.full(257, 22, "int64")
     for k, chars in enumerate((range(97, 123), range(65, 91), range(48, 58), (32,), (10, 13), (9,), (46,), (44,), (33,), (63,), (124,), (35,), (36,), (37,), (38,), (42,), (34, 39, 96), (40, 41, 60, 62, 91, 93, 123, 125), (58, 59), (43, 45, 47, 61, 92, 94, 95, 126, 64), (*range(223, 247), *range(248, 256)), (*range(192, 215), *range(216, 223)))):
         table[list(chars)] = k
     table[0:9] = 23
@@ -39,6 +48,24 @@ TABLE = class_table()
 BUCKET = (np.arange(CLASSES * CLASSES) * 2654435761 % 2**32) >> 26
 
 
+def letter_pairs(codes: np.ndarray) -> np.ndarray:
+    """A bucket for each pair of neighbouring code points."""
+    return ((codes[:-1] * np.uint32(2654435761) + codes[1:]) * np.uint32(2246822519) >> np.uint32(8)) % np.uint32(LETTERS)
+
+
+class Buckets(dict):
+    """A bucket for each word; the table starts anew when it has grown beyond 100,000."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
+        return found
+
+
+WORD = Buckets()
+
+
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of SIZE numbers, one a passage, and the number of passages of each text (one at least)."""
     counts = np.array([max(1, -(-len(t) // PASSAGE)) for t in texts])
@@ -46,17 +73,20 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = 0
     for t, n in zip(texts, counts.tolist(), strict=True):
         if t:
-            kinds = TABLE[np.frombuffer(t.encode("latin-1", "replace"), "uint8")]
+            codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+            kinds = TABLE[np.minimum(codes, 256)]
             row = np.arange(len(kinds)) // PASSAGE
             length = np.bincount(row, minlength=n)[:, None]
             x[at : at + n, :CLASSES] = np.bincount(row * CLASSES + kinds, minlength=n * CLASSES).reshape(n, CLASSES) / length
             pair = BUCKET[kinds[:-1] * CLASSES + kinds[1:]]
-            x[at : at + n, CLASSES : CLASSES + PAIRS] = np.bincount(row[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / length
+            x[at : at + n, CLASSES:FIGURES] = np.bincount(row[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / length
+            x[at : at + n, LETTERS_FROM:WORDS_FROM] = np.bincount(row[:-1] * LETTERS + letter_pairs(codes), minlength=n * LETTERS).reshape(n, LETTERS) / length
             for k in range(n):
                 words = t[k * PASSAGE : (k + 1) * PASSAGE].split()
                 total = max(1, len(words))
                 repeats = sum(map(str.__eq__, words, words[1:]))
-                x[at + k, CLASSES + PAIRS :] = (repeats / total, len(set(words)) / total, len(words) / PASSAGE, length[k, 0] / PASSAGE, sum(map(str.isupper, words)) / total)
+                x[at + k, FIGURES:LETTERS_FROM] = (repeats / total, len(set(words)) / total, len(words) / PASSAGE, length[k, 0] / PASSAGE, sum(map(str.isupper, words)) / total)
+                x[at + k, WORDS_FROM:] = np.bincount([WORD[w] for w in words], minlength=WORDS) / total if words else 0
         at += n
     return x, counts
 
@@ -129,25 +159,35 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000, passages: int = 32_000) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, <label> 0 or 1), rows of fold 0 and null ids or labels left out.
 
-    A document that occurs more than once, or with labels that differ, gives the bag and label of each pairing.
+    A document that occurs more than once, or with labels that differ, gives the bag and label of each pairing. In the
+    order of hashed ids a document is taken if the passages so far and its own are at most `passages`, so that the
+    driver gets at most that many encodings (SIZE half-precision numbers each), whatever the texts' lengths.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold_of(F.col("doc_id")) != 0))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).join(F.broadcast(known), "doc_id")
+    size = F.greatest(F.lit(1), F.ceil(F.length("text") / PASSAGE))
+    sizes = rows.select("doc_id", size.alias("n")).groupBy("doc_id", F.xxhash64("doc_id").alias("h")).agg(F.sum("n").alias("n")).collect()  # at most `sample` rows
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if total + r["n"] <= passages:
+            taken.append((r["doc_id"],))
+            total += r["n"]
+    chosen = docs.sparkSession.createDataFrame(taken, "doc_id long")
 
     def bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x, counts = encode(part["text"].tolist())
             ends = np.cumsum(counts)
-            own = [x[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
+            own = [x[e - n : e].astype("float16").tobytes() for e, n in zip(ends, counts, strict=True)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": own})
 
-    found = rows.mapInPandas(bags, "doc_id long, y int, x binary").collect()
+    found = rows.join(F.broadcast(chosen), "doc_id").mapInPandas(bags, "doc_id long, y int, x binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
-    return Model().fit([np.frombuffer(r["x"], "float32").reshape(-1, SIZE) for r in found], np.array([r["y"] for r in found]))
+    return Model().fit([np.frombuffer(r["x"], "float16").reshape(-1, SIZE).astype("float32") for r in found], np.array([r["y"] for r in found]))
 
 
 def scorer(model: Model):
