@@ -1,8 +1,8 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-A document is cut at multiples of the window; whole windows stand alone. The remainders are dealt by a hash into
-groups of a bounded mean size, so that a group's windows are found in one task whatever the corpus's size, and
-each group is divided into as few windows as hold it: the two partial partitions with the greatest imbalance are
+A document is cut at multiples of the window; whole windows stand alone. The remainders are dealt by the hash of a
+number that each piece gets when it is written and shares with no other, so that groups have a bounded size whatever
+ids are null or repeat, and a group's windows are found in one task whatever the corpus's size. Each group is divided into as few windows as hold it: the two partial partitions with the greatest imbalance are
 merged, the heaviest window of one onto the lightest of the other, until one is left. If a window exceeds the
 capacity, the division starts again with more windows.
 """
@@ -16,12 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: With the number that deals a piece.
+NUMBERED = f"{PIECES}, piece long"
 
 
 def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +79,20 @@ def divide(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int, group: int = 512) -> DataFrame:
-    """pieces with sequence_id and offset. pieces: PIECES, any length from 1 to the capacity; ties and repeated rows stay rows of their own; no pieces give no rows.
+    """pieces with sequence_id and offset. pieces: NUMBERED, or PIECES of a written table, whose rows are numbered here;
+    any length from 1 to the capacity; ties and repeated rows stay rows of their own; no pieces give no rows.
 
-    group: the mean number of pieces that are divided together, which bounds a task's memory and time.
+    group: the mean number of pieces that are divided together; as their numbers differ, a group has hardly more than
+    that (of 10**9 groups of 512 none is expected beyond 700), which bounds a task's memory and time.
     """
+    if "piece" not in pieces.columns:
+        pieces = pieces.withColumn("piece", F.monotonically_increasing_id())
     groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // group))
     # rows without an id are dealt apart: beside nulls, pandas would hold other ids as floats
-    dealt = pieces.withColumn("g", F.expr(f"pmod(xxhash64(doc_id, start), {groups}) * 2 + int(doc_id is null)"))
+    dealt = pieces.withColumn("g", F.expr(f"pmod(xxhash64(piece), {groups}) * 2 + int(doc_id is null)"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable")
+        rows = rows.sort_values(["doc_id", "start", "length", "ids_crc32", "piece"], kind="stable")
         sizes = rows["length"].to_numpy()
         full = sizes >= capacity
         where = np.empty(len(rows), "int64")
@@ -98,19 +105,22 @@ def pack(pieces: DataFrame, capacity: int, group: int = 512) -> DataFrame:
         begins = ends - rows["length"].to_numpy()
         rows["offset"] = begins - np.repeat(begins[first], np.diff(np.r_[np.flatnonzero(first), len(rows)]))
         rows["sequence_id"] = rows["g"] * 2**32 + where
-        return rows.drop(columns="g")
+        return rows.drop(columns=["g", "piece"])
 
     return dealt.groupBy("g").applyInPandas(one, f"{PIECES}, offset long, sequence_id long").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, memo: int) -> DataFrame:
-    """PIECES of docs(doc_id, text): each text's ids and then end_id, cut at multiples of the capacity. Null or empty text: the end id alone.
+    """NUMBERED pieces of docs(doc_id, text): each text's ids and then end_id, cut at multiples of the capacity. Null or empty text: the end id alone.
+
+    A piece's number is its task's number and its place in the task's output; the pieces must be written before use.
 
     memo: entries that an encoder remembers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last, step = bpe.encoder(tokenizer, memo), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        number = TaskContext.get().partitionId() << 40
         for batch in common.slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"].to_pylist()), strict=True):
@@ -119,9 +129,11 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, memo: int)
                     part = ids[at : at + step]
                     for column, value in zip(out, (doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            out.append(range(number, number + len(out[0])))
+            number += len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).mapInArrow(run, NUMBERED)
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, memo: int = 1_500_000) -> DataFrame:
@@ -130,4 +142,5 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed pieces. Null or empty text: one piece, the end id; null and repeated ids stay; an empty table gives none; only doc_id and text are read."""
     return packed(common.table(spark, sf_dir, "documents"), common.tokenizer_path())
