@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and the codebooks are fitted on the driver on at most `sample` vectors (those whose hashed ids
-are smallest); every vector is indexed. Inverted lists are gathered into blocks of a bounded number of rows: small
-lists share one, and a list that is too long, such as that of a vector which a third of the rows hold, is salted
-over several. A query goes to each block that holds one of its `probes` nearest lists; there an asymmetric distance
-table ranks the list's codes, the best `rerank` are measured exactly, and `k` a block are sent on.
+are smallest); every vector is indexed. There are about four times as many lists as the root of the number of vectors,
+and as many of them are probed as the sample itself needs for the wanted recall. Inverted lists are gathered into
+blocks of a bounded number of rows: small lists share one, and a list that is too long, such as that of a vector which
+a third of the rows hold, is salted over several. A query goes to each block that holds one of its lists, in chunks of
+a bounded number of queries, to which the block's codes come, not its vectors; there an asymmetric distance table ranks
+the codes. The best `rerank` of all blocks together are measured exactly.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,22 +48,38 @@ class Index:
         self.cuts = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], min(256, len(sample)), 6, seed) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and what a vector adds to its distances whatever the query: |r|^2 + 2 c.r of its coded residual r."""
         near = nearest(x, self.coarse)
         residual = x - self.coarse[near]
-        return near, np.column_stack([nearest(residual[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]).astype("uint8")
+        codes = np.column_stack([nearest(residual[:, a:b], book) for a, b, book in self.parts()]).astype("uint8")
+        coded = np.hstack([book[codes[:, part]] for part, (_, _, book) in enumerate(self.parts())])
+        return near, codes, ((coded + 2 * self.coarse[near]) * coded).sum(1).astype("float32")
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        return zip(self.cuts, self.cuts[1:], self.books, strict=False)
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         apart = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
         return np.argsort(apart, axis=1, kind="stable")[:, :n]
 
-    def distances(self, query: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: squared distances of a query to the coded vectors of one list, from one table a part."""
-        residual = query - self.coarse[which]
-        out = np.zeros(len(codes), "float32")
-        for part, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books, strict=False)):
-            out += ((book - residual[a:b]) ** 2).sum(1)[codes[:, part]]
-        return out
+    def table(self, query: np.ndarray) -> np.ndarray:
+        """The asymmetric table of a query: -2 q.b for each part's entries b, 256 a part. A coded vector's squared distance
+        is |q - c|^2 of its list, what it adds itself, and its codes' numbers from this table."""
+        out = np.zeros((len(self.books), 256), "float32")
+        for part, (a, b, book) in enumerate(self.parts()):
+            out[part, : len(book)] = -2 * (book * query[a:b]).sum(1)
+        return out.reshape(-1)
+
+    def needed(self, sample: np.ndarray, k: int, target: float, asked: int = 256) -> int:
+        """How many lists must be probed so that the sample's own first rows find `target` of their k nearest in the sample."""
+        own = sample[:asked]
+        apart = (sample**2).sum(1) - 2 * own @ sample.T
+        apart[np.arange(len(own)), np.arange(len(own))] = np.inf
+        true = np.argsort(apart, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        place = np.argsort(self.probes(own, len(self.coarse)), axis=1)
+        turns = np.sort(place[np.arange(len(own))[:, None], nearest(sample, self.coarse)[true]].reshape(-1))
+        return int(turns[min(len(turns) - 1, int(target * len(turns)))]) + 1 if len(turns) else 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -76,12 +95,14 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192, lists: int = 256, parts: int = 16, share: float = 0.6, rerank: int = 400) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192, lists: int | None = None, parts: int = 32, target: float = 0.97, rerank: int = 128, most: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query, a usable vector whose id is divisible by `every`, its k nearest other rows found.
 
     Euclidean distance in double precision; ties go to the smaller id. Repeated ids: each row is a candidate of its
-    own, other than the query's id, and a query that is repeated is asked once. Fewer usable rows than k + 1: all of
-    them. An empty table, or one without usable vectors, gives no rows. share: the part of the lists that is probed.
+    own, other than the query's id, and a query that is repeated is asked once (with the first of its vectors). Fewer
+    usable rows than k + 1: all of them. Vectors of another length than the most frequent one take no part, as no
+    distance to them is defined. An empty table, or one without usable vectors, gives no rows. lists: 4 sqrt(rows), at
+    most 4,096, if none is given. target: the recall for which lists are probed, by the sample. most: queries in a chunk, on average.
     """
     spark = vectors.sparkSession
     good = usable(vectors)
@@ -89,18 +110,21 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192
     schema = "query_id long, rank int, vec_id long, score double"
     if not fitted:
         return spark.createDataFrame([], schema)
-    index = Index(np.array([r["embedding"] for r in fitted]), lists, parts)
+    fitted = np.array([r["embedding"] for r in fitted])
+    index = Index(fitted, lists or int(min(4096, max(1, 4 * good.count() ** 0.5))), parts)
     n_lists = len(index.coarse)
-    n_probes = max(1, min(n_lists, round(share * n_lists)), min(n_lists, 16))
+    n_probes = min(n_lists, max(16, index.needed(fitted, k, target)))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 40
         for rows in batches:
             if len(rows):
                 x = np.stack(rows["embedding"].to_numpy())
-                where, codes = index.encode(x)
-                yield pd.DataFrame({"vec_id": rows["vec_id"], "list": where, "code": [c.tobytes() for c in codes], "vector": [v.astype("<f8").tobytes() for v in x]})
+                where, codes, own = index.encode(x)
+                yield pd.DataFrame({"row": np.arange(number, number + len(rows)), "vec_id": rows["vec_id"], "list": where, "own": own, "code": [c.tobytes() for c in codes], "vector": [v.astype("<f8").tobytes() for v in x]})
+                number += len(rows)
 
-    rows = common.written(good.mapInPandas(coded, "vec_id long, list int, code binary, vector binary"), "index")
+    rows = common.written(good.mapInPandas(coded, "row long, vec_id long, list int, own float, code binary, vector binary"), "index")
     counts = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}  # one row a list, so at most `lists`
     size = max(2048, min(65_536, sum(counts.values()) // 48))
     blocks, at, room = {}, 0, 0
@@ -116,48 +140,63 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192
             blocks[which] = (at + 1, salts)
             at, room = at + salts, 0
     table = spark.createDataFrame([(w, b, s) for w, (b, s) in blocks.items()], "list int, first int, salts int")
-    placed = rows.join(F.broadcast(table), "list").withColumn("block", F.expr("first + pmod(xxhash64(vec_id), salts)").cast("int"))
+    queries = common.written(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "queries")
+    chunks = max(1, -(-queries.count() // most))
+    held = rows.join(F.broadcast(table), "list").withColumn("block", F.expr("first + pmod(xxhash64(vec_id), salts)").cast("int"))
+    held = held.select("block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "list", "vec_id", "row", "own", "code")
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if len(part):
-                probed = index.probes(matrix(part["vector"]), n_probes)
-                out = [{b + s for w in own if w in blocks for b, n in (blocks[w],) for s in range(n)} for own in probed.tolist()]
-                yield pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), [len(o) for o in out]), "query": np.repeat(part["vector"].to_numpy(), [len(o) for o in out]), "block": [b for o in out for b in sorted(o)]})
-
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "vector")
-    sent = queries.mapInPandas(asked, "query_id long, query binary, block int")
-
-    def found(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
-        if len(asking) and len(held):
-            held = held.sort_values(["list", "vec_id"], kind="stable")
-            ids, x = held["vec_id"].to_numpy(), matrix(held["vector"])
-            codes = np.frombuffer(b"".join(held["code"]), "uint8").reshape(len(held), -1)
-            own, starts = np.unique(held["list"].to_numpy(), return_index=True)
-            spans = dict(zip(own.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(held)], strict=True), strict=True))
+                probed = index.probes(matrix(part["query"]), n_probes)
+                out = [sorted({b + s for w in own if w in blocks for b, n in (blocks[w],) for s in range(n)}) for own in probed.tolist()]
+                times = [len(o) for o in out]
+                yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), times), "query": np.repeat(part["query"].to_numpy(), times), "block": [b for o in out for b in o]})
+
+    sent = queries.mapInPandas(asked, "query_id long, query binary, block int").withColumn("chunk", F.expr(f"cast(pmod(xxhash64(query_id), {chunks}) as int)"))
+
+    def ranked(asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "float32"))]
+        if len(asking) and len(own):
+            own = own.sort_values(["list", "vec_id", "row"], kind="stable")
+            ids, numbers, adds = (own[c].to_numpy() for c in ("vec_id", "row", "own"))
+            codes = np.frombuffer(b"".join(own["code"]), "uint8").reshape(len(own), -1) + 256 * np.arange(len(index.books))
+            found, starts = np.unique(own["list"].to_numpy(), return_index=True)
+            spans = dict(zip(found.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True), strict=True))
             q = matrix(asking["query"])
             for query_id, query, probed in zip(asking["query_id"].to_numpy(), q, index.probes(q, n_probes).tolist(), strict=True):
                 mine = [(w, *spans[w]) for w in probed if w in spans]
-                place = np.concatenate([np.arange(a, b) for _, a, b in mine]) if mine else np.zeros(0, "int64")
-                near = np.concatenate([index.distances(query, w, codes[a:b]) for w, a, b in mine]) if mine else np.zeros(0)
+                if not mine:
+                    continue
+                place = np.concatenate([np.arange(a, b) for _, a, b in mine])
+                base = ((index.coarse[[w for w, _, _ in mine]] - query) ** 2).sum(1)
+                near = np.repeat(base, [b - a for _, a, b in mine]) + adds[place] + index.table(query)[codes[place]].sum(1)
                 other = ids[place] != query_id
-                place, near = place[other], near[other]
+                place, near = place[other], near[other].astype("float32")
                 if len(place) > rerank:
                     best = np.argpartition(near, rerank - 1)[:rerank]
                     limit = near[best].max()
-                    under, level = place[near < limit], place[near == limit]
-                    place = np.r_[under, level[np.argsort(ids[level], kind="stable")][: rerank - len(under)]]
-                score = np.sqrt(((x[place] - query) ** 2).sum(1))
-                first = np.lexsort((ids[place], score))[:k]
-                out.append((np.full(len(first), query_id), ids[place][first], score[first]))
-        a, b, c = (np.concatenate(o) for o in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+                    under, level = np.flatnonzero(near < limit), np.flatnonzero(near == limit)
+                    first = np.r_[under, level[np.lexsort((numbers[place[level]], ids[place[level]]))][: rerank - len(under)]]
+                    place, near = place[first], near[first]
+                out.append((np.full(len(place), query_id), ids[place], numbers[place], near))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "row", "near"), (np.concatenate(o) for o in zip(*out, strict=True)), strict=True)))
+
+    keys = ["block", "chunk"]
+    near = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, row long, near float")
+    own = Window.partitionBy("query_id")
+    best = near.withColumn("place", F.row_number().over(own.orderBy("near", "vec_id", "row"))).where(F.col("place") <= rerank).select("query_id", "vec_id", "row")
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                yield pd.DataFrame({"query_id": part["query_id"], "vec_id": part["vec_id"], "row": part["row"], "score": np.sqrt(((matrix(part["vector"]) - matrix(part["query"])) ** 2).sum(1))})
 
-    near = sent.groupBy("block").cogroup(placed.select("block", "list", "vec_id", "code", "vector").groupBy("block")).applyInPandas(found, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    exact = best.join(rows.select("row", "vector"), "row").join(queries, "query_id").mapInPandas(measured, "query_id long, vec_id long, row long, score double")
+    rank = F.row_number().over(own.orderBy("score", "vec_id", "row")).cast("int")
+    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search() of all embeddings; awkward vectors and repeated ids as there; only vec_id and embedding are read."""
     return search(common.table(spark, sf_dir, "embeddings"))
