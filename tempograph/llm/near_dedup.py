@@ -10,9 +10,11 @@
    the others are confirmed on full sets. Confirmed links give components by alternating stars.
 4. A bucket whose classes are by now in one component needs no more. In the others, all that is outside the largest
    component is compared with all of the bucket, block by block: classes of different components, in the first
-   bucket that they share, sketch against sketch and, where those are near, set against set, the nearest first; a
-   link joins components there and then, so that a block gives fewer links than it has members. So each candidate
-   pair is either compared or already joined, and no bucket is collected whole or expanded into its pairs.
+   bucket that they share. Blocks hold sketches alone at first, and tell which classes have a near one in them; only
+   those come again, with their sets, and are compared set against set, the nearest first; a link joins components
+   there and then, so that a block gives fewer links than it has members. So each candidate pair is either compared
+   or already joined, no bucket is collected whole or expanded into its pairs, and a block's sets are bounded, as a
+   bucket has more blocks the more shingles its classes have.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from . import common
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 BLOCK, CENTRES = 512, 8
+#: Shingles of a block's classes on either side, on average; a class that has more is alone in its size.
+SHINGLES = 1_000_000
 _draw = np.random.default_rng(20240501)
 ODD = _draw.integers(0, 2**63, 8, dtype="uint64") * np.uint64(2) + np.uint64(1)
 A = (_draw.integers(0, 2**31, SAMPLES, dtype="uint64") * np.uint64(2) + np.uint64(1)).astype("uint32")
@@ -149,7 +153,7 @@ def confirmed(least: int):
 
 def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, found) for the wanted ids, a written table; texts come in once for each row, so that repeated rows give repeated sets, which do no harm."""
-    own = docs.select("id", "text").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    own = docs.select("id", "text").join(wanted, "id", "left_semi")
     return common.written(own.mapInArrow(sets, "id long, found binary"), "sets")
 
 
@@ -202,28 +206,42 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def near_pairs(rows: pd.DataFrame, i: int, j: int, limit: int) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's two sides, and the numbers of the rows that are near by their sketches, of different components, and share no earlier bucket; with their differing bits."""
+    left, right = (r.sort_values("id") for r in (rows[rows["block"] == i], rows[rows["block"] == j]))
+    if not len(left) or not len(right):
+        return left, right, *(np.zeros(0, "int64"),) * 3
+    (x, m), (y, n) = ((np.stack(r["sketch"].to_numpy()).view("uint64"), np.stack(r["bands"].to_numpy())) for r in (left, right))
+    differ = np.zeros((len(x), len(y)), "int32")
+    for k in range(BITS // 64):
+        differ += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    a, b = np.nonzero((differ <= limit) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]))
+    if i == j:
+        a, b = a[a < b], b[a < b]
+    earlier = np.zeros(len(a), bool)
+    for k in range(int(rows["number"].iloc[0])):
+        earlier |= m[a, k] == n[b, k]
+    a, b = a[~earlier], b[~earlier]
+    return left, right, a, b, differ[a, b]
+
+
+def surviving(limit: int):
+    """The classes of a block of a bucket that have a near one in it: rows (band, number, i, j, id, block, root, sketch, bands)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right, a, b, _ = near_pairs(rows, *key[1:], limit)
+        ids = np.unique(np.r_[left["id"].to_numpy()[a], right["id"].to_numpy()[b]])
+        return rows.loc[rows["id"].isin(ids), ["band", "number", "i", "j", "id", "block", "root"]]
+
+    return run
+
+
 def compared(limit: int, least: int):
-    """The links that a block of a bucket adds: rows (band, number, i, j, id, block, root, sketch, bands, found)."""
+    """The links that a block of a bucket adds: surviving rows, with sketch, bands and found."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1:]
-        left, right = (r.sort_values("id") for r in (rows[rows["block"] == i], rows[rows["block"] == j]))
-        number, none = int(rows["number"].iloc[0]), pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
-        if not len(left) or not len(right):
-            return none
-        (x, m), (y, n) = ((np.stack(r["sketch"].to_numpy()).view("uint64"), np.stack(r["bands"].to_numpy())) for r in (left, right))
-        differ = np.zeros((len(x), len(y)), "int32")
-        for k in range(BITS // 64):
-            differ += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-        roots = left["root"].to_numpy(), right["root"].to_numpy()
-        a, b = np.nonzero((differ <= limit) & (roots[0][:, None] != roots[1][None, :]))
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        earlier = np.zeros(len(a), bool)
-        for k in range(number):
-            earlier |= m[a, k] == n[b, k]
-        a, b = a[~earlier], b[~earlier]
-        order = np.argsort(differ[a, b], kind="stable")
+        left, right, a, b, differ = near_pairs(rows, *key[1:], limit)
+        order = np.argsort(differ, kind="stable")
         parent: dict[int, int] = {}
 
         def root(k: int) -> int:
@@ -232,13 +250,14 @@ def compared(limit: int, least: int):
             return k
 
         sets = [[np.frombuffer(f, "uint64") for f in r["found"]] for r in (left, right)]
+        roots = [r["root"].to_numpy() for r in (left, right)]
         found = []
         for u, v in zip(a[order].tolist(), b[order].tolist(), strict=True):
             p, q = root(roots[0][u]), root(roots[1][v])
             if p != q and linked(sets[0][u], sets[1][v], least):
                 parent[max(p, q)] = min(p, q)
                 found.append((left["id"].iloc[u], right["id"].iloc[v]))
-        return pd.DataFrame(found, columns=["a", "b"]) if found else none
+        return pd.DataFrame(found, columns=["a", "b"]) if found else pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
 
     return run
 
@@ -252,10 +271,10 @@ def groups(docs: DataFrame, least: int = 75) -> DataFrame:
     """
     docs = docs.select(F.col("id").cast("long").alias("id"), common.text_of(docs).alias("text"))
     rows = common.written(docs.mapInArrow(signed, "id long, n_shingles long, content binary, bands array<long>, sketch array<long>"), "signatures")
-    classes = rows.where("n_shingles > 0").groupBy("content").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = rows.where("n_shingles > 0").groupBy("content").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
     classes = common.written(classes, "classes")
     sketches = classes.select("id", "sketch")
-    buckets = classes.select("id", F.posexplode("bands").alias("number", "band"))
+    buckets = classes.select("id", "size", F.posexplode("bands").alias("number", "band"))
     first = F.struct(F.xxhash64("id", F.col("number") % CENTRES), F.col("id"))
     shared = buckets.groupBy("band").agg(F.min(first)["id"].alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = buckets.join(shared, "band").where("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
@@ -263,30 +282,36 @@ def groups(docs: DataFrame, least: int = 75) -> DataFrame:
     near = stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
     near = common.written(near.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n) <= limit).select("a", "b"), "near")
     links = confirm(near, docs, least)
+    common.drop(near)
     roots = components(links)
 
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     placed = rooted(buckets)
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("n > 2 and parts > 1")
-    size = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = open_.select("band", F.col("main.root").alias("main"), size(F.col("main.n")).alias("n_main"), size(F.col("n") - F.col("main.n")).alias("n_other"))
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    open_ = parts.groupBy("band").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("n > 2 and parts > 1")
+    blocks_of = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / SHINGLES)).cast("int")
+    open_ = open_.select("band", F.col("main.root").alias("main"), blocks_of(F.col("main.n"), F.col("main.size")).alias("n_main"), blocks_of(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("n_other"))
     block = F.expr("cast(if(root = main, -1 - pmod(xxhash64(id, band), n_main), pmod(xxhash64(id, band), n_other)) as int)")
     dealt = common.written(placed.join(open_, "band").withColumn("block", block), "open")
     if not dealt.isEmpty():
-        own = full_sets(dealt.select("id").distinct(), docs)
         blocks = dealt.withColumn("with", F.explode(F.expr("concat(sequence(0, n_other - 1), if(block < 0, array(), sequence(-n_main, -1)))")))
         blocks = blocks.select("band", "number", "id", "root", "block", F.expr("if(block < 0 or with >= 0 and with < block, with, block)").alias("i"), F.expr("if(block < 0 or with >= 0 and with < block, block, with)").alias("j"))
-        blocks = blocks.join(classes.select("id", "sketch", "bands"), "id").join(own, "id")
-        more = blocks.groupBy("band", "i", "j").applyInPandas(compared(limit, least), "a long, b long")
+        marks, keys = classes.select("id", "sketch", "bands"), ["band", "i", "j"]
+        near = common.written(blocks.join(marks, "id").groupBy(*keys).applyInPandas(surviving(limit), "band long, number int, i int, j int, id long, block int, root long"), "surviving")
+        own = full_sets(near.select("id").distinct(), docs)
+        more = near.join(marks, "id").join(own, "id").groupBy(*keys).applyInPandas(compared(limit, least), "a long, b long")
         roots = components(common.written(links.unionByName(more), "links"))
+        common.drop(near)
+        common.drop(own)
+    common.drop(dealt)
     heads = rooted(classes.select("content", "id")).select("content", F.col("root").alias("component_id"))
-    return rows.select("id", "n_shingles", "content").join(heads, "content", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return common.joined_back(rows.select("id", "n_shingles", "content"), "content", heads).select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """groups() of all documents: one row a row; null, empty and repeated rows as there; only doc_id and text are read."""
     found = groups(common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
@@ -294,5 +319,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose id is their group's smallest; of repeated rows all stay, and so do rows without an id."""
     found = groups(docs.select(F.col("doc_id").alias("id"), "text")).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    first = docs.join(found.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    first = docs.join(found, "doc_id", "left_semi").select(docs.columns)
     return first.unionByName(docs.where(F.col("doc_id").isNull()))
