@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from . import common, webp
 
 ROW, WIDTH, MOST = 576, 192, 4096
-#: From so many samples on, a picture's own code is worth its place in the file.
-OWN_CODE_FROM = 8192
 
 
 def padded(raw: bytes) -> bytes:
@@ -30,7 +28,7 @@ def padded(raw: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """Files of a payload of whole rows."""
     step = ROW * MOST
-    return b"".join(webp.encode_samples(np.frombuffer(payload[at : at + step], "uint8"), WIDTH, OWN_CODE_FROM) for at in range(0, len(payload), step))
+    return b"".join(webp.encode_payload(np.frombuffer(payload[at : at + step], "uint8"), WIDTH) for at in range(0, len(payload), step))
 
 
 def load(media: bytes) -> Iterator[np.ndarray]:
@@ -87,5 +85,6 @@ def read_back(media: DataFrame) -> DataFrame:
 
 
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' texts through stored() and read_back(): one row a row; null text: empty, a payload of padding alone; null and repeated ids stay; an empty table gives none; only doc_id and text are read."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return read_back(stored(docs)).withColumnRenamed("id", "doc_id")

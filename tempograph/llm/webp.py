@@ -8,7 +8,6 @@ position gives where the pixels begin. References, cached colours and picture-wi
 from __future__ import annotations
 
 import functools
-import heapq
 import struct
 
 import numpy as np
@@ -50,17 +49,16 @@ class Code:
         if self.single is not None:
             self.symbol, self.length = np.array([self.single]), np.zeros(1, "uint8")
             return
-        order = used[np.lexsort((used, lengths[used]))]
-        size = lengths[order].astype("int64")
-        share = 1 << (self.bits - size)
+        order = used[np.argsort(lengths[used], kind="stable")]
+        share = 1 << (self.bits - lengths[order].astype("int64"))
         if share.sum() != 1 << self.bits:
             raise WebPError("a code that is not full")
-        first = np.cumsum(share) - share  # of left-aligned codes
-        left = np.repeat(order, share)
-        turn = reversed_bits(self.bits)
-        self.symbol, self.length = left[turn], lengths[left][turn].astype("uint8")
-        self.codes = np.zeros(len(lengths), "uint64")
-        self.codes[order] = turn[first]
+        left = np.repeat(order, share)[reversed_bits(self.bits)]
+        self.symbol, self.length = left, lengths[left]
+
+    @functools.cached_property
+    def codes(self) -> np.ndarray:
+        return codes_of(self.lengths)
 
 
 @functools.lru_cache(maxsize=16)
@@ -71,6 +69,17 @@ def reversed_bits(n: int) -> np.ndarray:
     return out
 
 
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """The words of the canonical code with these lengths, their first bit lowest."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[order].astype("int64")
+    share = 1 << (int(size[-1]) - size)
+    words = np.zeros(len(lengths), "uint64")
+    words[order] = reversed_bits(int(size[-1]))[np.cumsum(share) - share] if len(order) > 1 else 0
+    return words
+
+
 @functools.lru_cache(maxsize=256)
 def code_of(lengths: bytes) -> Code:
     return Code(np.frombuffer(lengths, "uint8"))
@@ -85,19 +94,24 @@ def huffman(counts: np.ndarray, most: int) -> np.ndarray:
         return lengths
     weights = counts[used].astype("int64").tolist()
     while True:
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heappush(heap, (a[0] + b[0], n))
+        order = sorted(range(len(weights)), key=weights.__getitem__)
+        parent, heavy = [0] * (2 * len(used) - 1), [weights[k] for k in order]  # leaves by weight, then what they merge into, which grows too
+        leaf, inner, n = 0, len(used), len(used)
+        while n < len(parent):
+            total = 0
+            for _ in range(2):
+                if leaf < len(used) and (inner == n or heavy[leaf] <= heavy[inner]):
+                    parent[leaf], total, leaf = n, total + heavy[leaf], leaf + 1
+                else:
+                    parent[inner], total, inner = n, total + heavy[inner], inner + 1
+            heavy.append(total)
             n += 1
         depth = [0] * n
         for k in range(n - 2, -1, -1):
             depth[k] = depth[parent[k]] + 1
         if max(depth) <= most:
-            lengths[used] = depth[: len(used)]
+            for k, place in enumerate(order):
+                lengths[used[place]] = depth[k]
             return lengths
         weights = [w // 2 + 1 for w in weights]
 
@@ -169,10 +183,12 @@ class Bits:
         rest = 2 + self.read(2 + 2 * self.read(3)) if self.read(1) else size
         at, last = 0, 8
         symbols, widths, mask, data = inner.symbol.tolist(), inner.length.tolist(), (1 << inner.bits) - 1, self.data
+        here, word, known = self.at, 0, 0
         while at < size and rest:
             rest -= 1
-            here = self.at
-            word = int.from_bytes(data[here >> 3 : (here >> 3) + 4], "little") >> (here & 7)
+            if known < 14:
+                known = 2048 - (here & 7)
+                word = int.from_bytes(data[here >> 3 : (here >> 3) + 256], "little") >> (here & 7)
             symbol, width = symbols[word & mask], widths[word & mask]
             word >>= width
             if symbol < 16:
@@ -181,12 +197,15 @@ class Bits:
             else:
                 base, extra, value = ((3, 2, last), (3, 3, 0), (11, 7, 0))[symbol - 16]
                 n = base + (word & ((1 << extra) - 1))
+                word >>= extra
                 width += extra
                 if at + n > size:
                     raise WebPError("more lengths than symbols")
                 lengths[at : at + n] = bytes([value]) * n
                 at += n
-            self.at = here + width
+            here += width
+            known -= width
+        self.at = here
         if self.at > self.end:
             raise WebPError("the stream ends early")
         return code_of(bytes(lengths))
@@ -196,13 +215,21 @@ class Cache:
     """Recently seen colours by a hash; pixels enter, in order, when somebody asks."""
 
     def __init__(self, bits: int):
-        self.shift, self.held, self.upto = 32 - bits, np.zeros(1 << bits, "uint32"), 0
+        self.shift, self.held, self.upto = 32 - bits, [0] * (1 << bits), 0
 
-    def colour(self, k: int, pixels: np.ndarray, n: int) -> int:
+    def slots(self, pixels: np.ndarray) -> list[int]:
+        return ((pixels * np.uint32(HASH)) >> np.uint32(self.shift)).tolist()
+
+    def enter(self, pixels: np.ndarray, n: int) -> None:
+        """All pixels up to the n-th."""
         new = pixels[self.upto : n]
-        self.held[(new * np.uint32(HASH)) >> np.uint32(self.shift)] = new
+        for k, x in zip(self.slots(new), new.tolist(), strict=True):
+            self.held[k] = x
         self.upto = n
-        return int(self.held[k])
+
+    def colour(self, k: int, pixels: np.ndarray, n: int) -> int:
+        self.enter(pixels, n)
+        return self.held[k]
 
 
 def picture(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -220,12 +247,9 @@ def picture(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache = Cache(cached) if cached else None
     while n < total:
         if n_groups == 1:
-            group = groups[0]
-            n = literals(bits, group, out, n)
-            if n == total:
-                break
-        else:
-            group = groups[int(which[n // width >> grain, n % width >> grain])]
+            n = stretch(bits, groups[0], cache, out, n, width)
+            continue
+        group = groups[int(which[n // width >> grain, n % width >> grain])]
         symbol = bits.symbol(group[0])
         if symbol < 256:
             red, blue, alpha = (bits.symbol(c) for c in group[1:4])
@@ -233,78 +257,140 @@ def picture(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             n += 1
         elif symbol < 280:
             length = bits.number(symbol - 256)
-            code = bits.number(bits.symbol(group[4]))
-            distance = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
-            if distance > n or n + length > total:
-                raise WebPError("a reference out of the picture")
-            done = 0
-            while done < length:
-                step = min(length - done, distance + done)
-                out[n + done : n + done + step] = out[n - distance : n - distance + step]
-                done += step
-            n += length
+            n = copied(out, n, length, bits.number(bits.symbol(group[4])), width)
         else:
             out[n] = cache.colour(symbol - 280, out, n)
             n += 1
     return out.reshape(height, width)
 
 
-def literals(bits: Bits, group: list[Code], out: np.ndarray, n: int) -> int:
-    """Read literal pixels into out from pixel n on, up to something else or the end; the number of pixels then known."""
-    total, green = len(out), group[0]
+def copied(out: np.ndarray, n: int, length: int, code: int, width: int) -> int:
+    """Repeat pixels from a distance code back; the number of pixels then known."""
+    distance = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+    if distance > n or n + length > len(out):
+        raise WebPError("a reference out of the picture")
+    done = 0
+    while done < length:
+        step = min(length - done, distance + done)
+        out[n + done : n + done + step] = out[n - distance : n - distance + step]
+        done += step
+    return n + length
+
+
+#: Extra bits of length and distance prefixes, and the numbers that those bits are added to.
+EXTRA = np.array([max(0, (k - 2) >> 1) for k in range(40)])
+FIRST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+
+
+def stretch(bits: Bits, group: list[Code], cache: Cache | None, out: np.ndarray, n: int, width: int) -> int:
+    """Read pixels into out from pixel n on, as many as a stretch of the stream holds; the number of pixels then known.
+
+    Where a pixel, reference or cached colour that began at a bit would end is found for all bits at once; following
+    these ends from the first bit gives where they do begin. References and cached colours are then put in one by one.
+    """
+    total, green, far = len(out), group[0], group[4]
     if not any(c.bits for c in group[:4]) and green.single < 256:
         out[n:] = group[3].single << 24 | group[1].single << 16 | green.single << 8 | group[2].single
         return total
-    other = bool((green.lengths[256:] > 0).any())
-    while n < total:
-        base = bits.at & ~7
-        raw = np.frombuffer(bits.data, "uint8", min(len(bits.data) - (base >> 3), STRETCH // 8 + 16), base >> 3)
-        if not len(raw):
-            raise WebPError("the stream ends early")
-        b = np.zeros(len(raw) + 3, "uint32")
-        b[: len(raw)] = raw
-        word = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16
-        window = (word[:, None] >> np.arange(8, dtype="uint32")).astype("uint16").reshape(-1)
-        last, place = len(window), np.arange(len(window), dtype="int32")
-        stops: dict[int, np.ndarray] = {}
-        step = None
-        for code in group[:4]:
-            if code.bits:
-                if id(code) not in stops:
-                    found = np.empty(last + 1, "int32")
-                    np.add(place, code.length[window & ((1 << code.bits) - 1)], out=found[:last])
-                    np.minimum(found, last, out=found)
-                    found[last] = last
-                    stops[id(code)] = found
-                step = stops[id(code)] if step is None else stops[id(code)][step]
-        if other:
-            step[:last][green.symbol[window & ((1 << green.bits) - 1)] >= 256] = -1
-        limit = last - 64 if (base >> 3) + len(raw) < len(bits.data) else last
-        chain, p, room = [], bits.at - base, total - n
-        steps, push = memoryview(step), chain.append
-        while p < limit and len(chain) < room:
-            to = steps[p]
-            if to < 0:
-                break
-            push(p)
-            p = to
+    base, room = bits.at & ~7, total - n
+    raw = np.frombuffer(bits.data, "uint8", min(len(bits.data) - (base >> 3), STRETCH // 8 + 16), base >> 3)
+    if not len(raw):
+        raise WebPError("the stream ends early")
+    b = np.zeros(len(raw) + 3, "uint32")
+    b[: len(raw)] = raw
+    word = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
+    window = (word[:, None] >> np.arange(8, dtype="uint32")).astype("uint16").reshape(-1)
+    last, place = len(window), np.arange(len(window), dtype="int32")
+    stops: dict[int, np.ndarray] = {}
+    step = None
+    for code in group[:4]:
+        if code.bits:
+            if id(code) not in stops:
+                found = np.empty(last + 1, "int32")
+                np.add(place, code.length[window & ((1 << code.bits) - 1)], out=found[:last])
+                np.minimum(found, last, out=found)
+                found[last] = last
+                stops[id(code)] = found
+            step = stops[id(code)] if step is None else stops[id(code)][step]
+    symbols = green.symbol[window & ((1 << green.bits) - 1)]
+    spots = np.zeros(0, "int64")
+    if (green.lengths[256:] > 0).any():
+        wide = lambda p: (word[np.minimum(p >> 3, len(word) - 1)] >> (p & 7).astype("uint32")).astype("int64")
+        spots = np.flatnonzero(symbols >= 256)
+        kind = symbols[spots]
+        ends = spots + (green.length[window[spots] & ((1 << green.bits) - 1)] if green.bits else 0)
+        refers = kind < 280
+        which, at = kind[refers] - 256, ends[refers]
+        length = FIRST[which] + (wide(at) & ((1 << EXTRA[which]) - 1))
+        at = at + EXTRA[which]
+        told = wide(at) & ((1 << far.bits) - 1)
+        which, at = far.symbol[told], at + far.length[told]
+        back = FIRST[which] + (wide(at) & ((1 << EXTRA[which]) - 1))
+        ends[refers] = at + EXTRA[which]
+        lengths, backs = (np.zeros(len(spots), "int64") for _ in range(2))
+        lengths[refers], backs[refers] = length, back
+        step = place.copy() if step is None else step.copy() if len(stops) == 1 else step
+        step[spots] = np.minimum(ends, last)
+    limit = last - 64 if (base >> 3) + len(raw) < len(bits.data) else last
+    chain, p = [], bits.at - base
+    steps, push = memoryview(step), chain.append
+    while p < limit and len(chain) < room:
+        push(p)
+        p = steps[p]
+    if not chain:
+        raise WebPError("the stream ends early")
+    at = np.array(chain, "int64")
+    kind, size = symbols[at], np.ones(len(at), "int64")
+    special = np.flatnonzero(kind >= 256)
+    own = np.searchsorted(spots, at[special])
+    if len(special):
+        size[special] = np.maximum(1, lengths[own])
+        ends = np.cumsum(size)
+        k = int(np.searchsorted(ends, room)) + 1
+        if k < len(at):
+            p, at, kind, ends, size = chain[k], at[:k], kind[:k], ends[:k], size[:k]
+            own, special = own[special < k], special[special < k]
+        begins = n + ends - size
+        plain = np.flatnonzero(kind < 256)
+        places, at = begins[plain], at[plain]
+    pixels = np.zeros(len(at), "uint32")
+    for code, shift in zip(group[:4], (8, 16, 0, 24), strict=True):
+        if code.bits:
+            here = window[np.minimum(at, last - 1)] & ((1 << code.bits) - 1)
+            pixels |= code.symbol[here].astype("uint32") << np.uint32(shift)
+            at = at + code.length[here]
         else:
-            to = 0
-        at, pixels = np.array(chain, "int64"), np.zeros(len(chain), "uint32")
-        for code, shift in zip(group[:4], (8, 16, 0, 24), strict=True):
-            if code.bits:
-                pixels |= code.symbol[window[at] & ((1 << code.bits) - 1)].astype("uint32") << np.uint32(shift)
-                at = stops[id(code)][at] if not (other and code is green) else at + code.length[window[at] & ((1 << code.bits) - 1)]
-                at = np.minimum(at, last - 1)
-            else:
-                pixels |= np.uint32(code.single << shift)
+            pixels |= np.uint32((code.single & 255) << shift)
+    if not len(special):
         out[n : n + len(pixels)] = pixels
         n += len(pixels)
-        bits.at = base + p
-        if bits.at > bits.end or (bits.at == bits.end and n < total):
-            raise WebPError("the stream ends early")
-        if to < 0:
-            break
+    else:
+        if int(begins[-1] + size[-1]) > total:
+            raise WebPError("a reference out of the picture")
+        out[places] = pixels
+        if cache is None:
+            if (kind >= 280).any():
+                raise WebPError("a symbol beyond the alphabet")
+            for t, s in zip(special.tolist(), own.tolist(), strict=True):
+                copied(out, int(begins[t]), int(lengths[s]), int(backs[s]), width)
+        else:
+            cache.enter(out, n)
+            held, slots, values, known = cache.held, iter(cache.slots(pixels)), iter(pixels.tolist()), iter(own.tolist())
+            for symbol, at in zip(kind.tolist(), begins.tolist(), strict=True):
+                if symbol < 256:
+                    held[next(slots)] = next(values)
+                elif symbol < 280:
+                    s = next(known)
+                    cache.upto = at
+                    cache.enter(out, copied(out, at, int(lengths[s]), int(backs[s]), width))
+                else:
+                    next(known)
+                    out[at] = held[symbol - 280]
+            cache.upto = int(begins[-1] + size[-1])
+        n = int(begins[-1] + size[-1])
+    bits.at = base + p
+    if bits.at > bits.end or (bits.at == bits.end and n < total):
+        raise WebPError("the stream ends early")
     return n
 
 
@@ -353,7 +439,7 @@ def neighbours(x: np.ndarray, row: int, column: int) -> tuple:
 
 
 def unpredicted(rest: np.ndarray, modes: np.ndarray, grain: int) -> np.ndarray:
-    """Pixels from residuals. Rows whose modes look only upward are done at once, others pixel by pixel."""
+    """Pixels from residuals. Where a row's modes look upward or to the left alone, each run of one mode is done at once, others pixel by pixel."""
     x = channels(rest)
     height, width = rest.shape
     x[0, 0] += (255, 0, 0, 0)
@@ -362,11 +448,14 @@ def unpredicted(rest: np.ndarray, modes: np.ndarray, grain: int) -> np.ndarray:
     for row in range(1, height):
         own = np.repeat((modes[row >> grain] >> 8) & 15, 1 << grain)[:width]
         x[row, 0] = (x[row, 0] + x[row - 1, 0]) & 255
-        if width > 1 and np.isin(own[1:], (0, 2, 3, 4, 8, 9)).all():
+        if width > 1 and np.isin(own[1:], (0, 1, 2, 3, 4, 8, 9)).all():
             right = np.concatenate([x[row - 1, 2:], x[row, :1]])
-            for mode in np.unique(own[1:]):
-                here = np.flatnonzero(own[1:] == mode) + 1
-                x[row, here] = (x[row, here] + predicted(int(mode), None, x[row - 1, here], right[here - 1], x[row - 1, here - 1])) & 255
+            begins = np.flatnonzero(np.diff(own[1:], prepend=-1)) + 1
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), width], strict=True):
+                if own[begin] == 1:
+                    x[row, begin - 1 : end] = np.cumsum(x[row, begin - 1 : end], axis=0) & 255
+                else:
+                    x[row, begin:end] = (x[row, begin:end] + predicted(int(own[begin]), None, x[row - 1, begin:end], right[begin - 1 : end - 1], x[row - 1, begin - 1 : end - 1])) & 255
             continue
         for column in range(1, width):
             x[row, column] = (x[row, column] + predicted(int(own[column]), *neighbours(x, row, column))) & 255
@@ -459,15 +548,16 @@ class Writer:
     def code(self, lengths: np.ndarray) -> None:
         self.put(*description(lengths.tobytes()))
 
-    def describe(self, lengths: np.ndarray) -> None:
+    def describe(self, lengths: np.ndarray, by: np.ndarray | None = None) -> None:
+        """A code by its lengths, which are written in the code `by`, or in one that fits them best."""
         used = np.flatnonzero(lengths).tolist()
         if len(used) <= 2 and max(used) < 256:
             self.put(1 | (len(used) - 1) << 1 | 1 << 2, 3)
             for symbol in used:
                 self.put(symbol, 8)
             return
-        runs = list(run_lengths(lengths.tolist()))
-        sizes = huffman(np.bincount([r[0] for r in runs], minlength=19), 7)
+        runs = list(run_lengths(lengths))
+        sizes = huffman(np.bincount([r[0] for r in runs], minlength=19), 7) if by is None else by
         if np.count_nonzero(sizes) == 1:  # a lone symbol has no bits of its own; a second makes the code full
             sizes[17 if sizes[17] == 0 else 18] = 1
         stored = [int(sizes[k]) for k in LENGTH_ORDER]
@@ -478,9 +568,16 @@ class Writer:
         for n in stored:
             self.put(n, 3)
         self.put(0, 1)
-        code = code_of(sizes.tobytes())
+        words, widths, value, size = words_of(sizes.tobytes()), sizes.tolist(), 0, 0
         for symbol, extra, width in runs:
-            self.put(int(code.codes[symbol]) | extra << int(sizes[symbol]), int(sizes[symbol]) + width)
+            value |= (words[symbol] | extra << widths[symbol]) << size
+            size += widths[symbol] + width
+        self.put(value, size)
+
+
+@functools.lru_cache(maxsize=16)
+def words_of(lengths: bytes) -> list[int]:
+    return codes_of(np.frombuffer(lengths, "uint8")).tolist()
 
 
 @functools.lru_cache(maxsize=64)
@@ -491,23 +588,26 @@ def description(lengths: bytes) -> tuple[int, int]:
     return out.value, out.size
 
 
-def run_lengths(lengths: list[int]):
+def run_lengths(lengths: np.ndarray):
     """(symbol, extra, bits of extra) of the code-length code; repeats of zeros and of the last length are short."""
-    at, last = 0, 8
-    while at < len(lengths):
-        x, n = lengths[at], 1
-        while at + n < len(lengths) and lengths[at + n] == x:
-            n += 1
-        if x == 0 and n >= 3:
-            n = min(n, 138)
-            yield (18, n - 11, 7) if n >= 11 else (17, n - 3, 3)
-        elif x and x == last and n >= 3:
-            n = min(n, 6)
-            yield 16, n - 3, 2
+    begins, last = np.flatnonzero(np.diff(lengths, prepend=255)), 8
+    for x, n in zip(lengths[begins].tolist(), np.diff(begins, append=len(lengths)).tolist(), strict=True):
+        if x:
+            if x != last:
+                yield x, 0, 0
+                n, last = n - 1, x
+            while n >= 3:
+                yield 16, min(n, 6) - 3, 2
+                n -= min(n, 6)
         else:
-            n = 1
+            while n >= 11:
+                yield 18, min(n, 138) - 11, 7
+                n -= min(n, 138)
+            if n >= 3:
+                yield 17, n - 3, 3
+                n = 0
+        for _ in range(n):
             yield x, 0, 0
-        last, at = x or last, at + n
 
 
 def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -710,3 +810,213 @@ def encode_samples(samples: np.ndarray, width: int, own_code_from: int) -> bytes
     c, n = code.codes[samples].reshape(-1, 3), lengths[samples].astype("int64").reshape(-1, 3)
     codes = c[:, 1] | c[:, 0] << n[:, 1].astype("uint64") | c[:, 2] << (n[:, 1] + n[:, 0]).astype("uint64")
     return framed(packed(out, codes, n.sum(axis=1)))
+
+
+# --- writing payloads
+
+#: The predictor's modes that are tried: each undoes a whole run of pixels at once.
+TRIED = (1, 2, 4, 8)
+#: Sizes of the colour cache that are tried, as bits.
+CACHES = (6,)
+#: The code in which the lengths of a payload's codes are written, of lengths 0 to 14 and the three kinds of runs; full.
+DESCRIBED_BY = np.array([3, 7, 7, 7, 6, 5, 4, 3, 3, 3, 4, 5, 7, 7, 7, 0, 4, 3, 4], "uint8")
+#: The longest code of a payload's picture, so that tables stay small.
+DEEPEST = 11
+
+
+#: n log2 n.
+SURPRISE = np.arange(1 << 15) * np.log2(np.maximum(np.arange(1 << 15), 1))
+
+
+def bits_of(symbols: np.ndarray) -> float:
+    """The entropy of all symbols together, and five bits for the description of each distinct one."""
+    counts = np.bincount(symbols)
+    some = counts[counts >= 1 << 15]
+    low = SURPRISE.take(counts, mode="clip").sum() if not len(some) else SURPRISE[counts[counts < 1 << 15]].sum() + (some * np.log2(some)).sum()
+    return float(len(symbols) * np.log2(max(1, len(symbols))) - low) + 5 * int(np.count_nonzero(counts))
+
+
+def repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """References (begin, length, distance) from left to right: where three pixels come again, to their last occurrence, as far as it goes."""
+    none = (np.zeros(0, "int64"),) * 3
+    if len(x) < 4:
+        return none
+    wide = x.astype("uint64") & np.uint64(0xFFFFFF)
+    key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return none
+    before = np.full(len(key), -1, "int64")
+    before[order[same + 1]] = order[same]
+    at, out, size = 0, [], len(x)
+    for n, k in zip((spots := np.flatnonzero(before >= 0)).tolist(), before[spots].tolist(), strict=True):
+        if n < at:
+            continue
+        length = 0
+        while length < 4096 and n + length < size:
+            m = min(32 if not length else 512, size - n - length, 4096 - length)
+            differ = x[n + length : n + length + m] != x[k + length : k + length + m]
+            stop = int(differ.argmax())
+            if differ[stop]:
+                length += stop
+                break
+            length += m
+        if length >= 3:
+            out.append((n, length, n - k))
+            at = n + length
+    return tuple(np.array(out, "int64").T) if out else none
+
+
+def prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """prefix() of many numbers."""
+    which = np.searchsorted(FIRST, x, side="right") - 1
+    return which, x - FIRST[which], EXTRA[which]
+
+
+def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> bytes:
+    """A main picture with references, and with a colour cache if that makes it smaller; one group of codes, one alpha. Ends the file's body."""
+    begin, length, back = repeats(x)
+    covered = np.zeros(len(x) + 1, "int64")
+    np.add.at(covered, begin, 1)
+    np.add.at(covered, begin + length, -1)
+    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    colours = x[literal]
+    red, green, blue = ((colours >> np.uint32(s) & np.uint32(255)).astype("int64") for s in (16, 8, 0))
+    lengths_, near = prefixes(length), np.where(back == 1, 2, np.where(back == width, 1, back + 120))
+    cached, hit = 0, np.zeros(len(literal), bool)
+    best = bits_of(np.concatenate([green, 256 + lengths_[0]])) + bits_of(np.concatenate([red, blue]))
+    for tried in CACHES:
+        slot = (x * np.uint32(HASH)) >> np.uint32(32 - tried)
+        order = np.argsort(slot, kind="stable")
+        seen = np.zeros(len(x), bool)
+        seen[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (x[order[1:]] == x[order[:-1]])
+        own = seen[literal]
+        index = slot[literal].astype("int64")
+        now = bits_of(np.concatenate([np.where(own, 280 + index, green), 256 + lengths_[0]])) + bits_of(np.concatenate([red[~own], blue[~own]]))
+        if own.any() and now < best:
+            best, cached, hit = now, tried, own
+            slots = index
+    out.put(1 | cached << 1, 5) if cached else out.put(0, 1)
+    out.put(0, 1)  # one group of codes
+    first = np.where(hit, 280 + slots, green) if cached else green
+    where, extra, n_extra = prefixes(near)
+    counts = [np.bincount(np.r_[first, 256 + lengths_[0]], minlength=280 + ((1 << cached) if cached else 0)), np.bincount(np.r_[red[~hit], blue[~hit]], minlength=256), np.bincount(where, minlength=40)]
+    codes = []
+    for c in counts:
+        if np.count_nonzero(c) == 0 or (np.count_nonzero(c) == 1 and np.flatnonzero(c)[0] > 255):
+            c[0] += 1
+        codes.append(huffman(c, DEEPEST))
+    out.describe(codes[0], DESCRIBED_BY)
+    colours = Writer()
+    colours.describe(codes[1], DESCRIBED_BY)
+    out.put(colours.value, colours.size)
+    out.put(colours.value, colours.size)
+    out.put(1 | 1 << 2 | alpha << 3, 11)
+    out.describe(codes[2], DESCRIBED_BY)
+    words = [codes_of(c) for c in codes]
+    width_of = [np.where(np.count_nonzero(c) > 1, c, 0).astype("int64") for c in codes]
+    value, size = words[0][first], width_of[0][first]
+    for colour in (red, blue):
+        more = np.where(hit, 0, width_of[1][colour])
+        value = value | np.where(hit, np.uint64(0), words[1][colour]) << size.astype("uint64")
+        size = size + more
+    symbol = 256 + lengths_[0]
+    v, w = words[0][symbol], width_of[0][symbol]
+    for bits, n in ((lengths_[1].astype("uint64"), lengths_[2]), (words[2][where], width_of[2][where]), (extra.astype("uint64"), n_extra)):
+        v = v | bits << w.astype("uint64")
+        w = w + n
+    order = np.argsort(np.r_[literal, begin], kind="stable")
+    value, size = np.r_[value, v][order], np.r_[size, w][order]
+    keep = size > 0
+    if not keep.any():
+        return out.value.to_bytes((out.size + 7) // 8, "little")
+    return packed(out, value[keep], size[keep])
+
+
+def slopes(c: np.ndarray) -> tuple[int, int]:
+    """The cross-colour multipliers, in 32nds as bytes, that fit the samples c(n, 3) best: of red by green, of blue by green.
+    None (0) where green tells less than a tenth of the other's variance."""
+    apart = c.view("int8").astype("float32")
+    apart -= apart.mean(axis=0)
+    both = apart.T @ apart
+    fit = [int(np.clip(np.round(32 * both[1, k] / both[1, 1]), -128, 127)) & 255 if 10 * both[1, k] ** 2 > both[1, 1] * both[k, k] else 0 for k in (0, 2)]
+    return fit[0], fit[1]
+
+
+def block_modes(c: np.ndarray, grain: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mode of TRIED with the least residuals for each block of samples c(height, width, 3), and the residuals, as samples."""
+    height, width = c.shape[:2]
+    near = np.zeros((height + 1, width + 1, 3), "uint8")  # black beyond the edges
+    near[1:, 1:] = c
+    left, top, corner = near[1:, :-1], near[:-1, 1:], near[:-1, :-1]
+    told = {1: left, 2: top, 4: corner, 8: ((corner.astype("uint16") + top) >> 1).astype("uint8")}
+    rows, columns = np.arange(0, height, 1 << grain), np.arange(0, width, 1 << grain)
+    rests = np.stack([c - told[m] for m in TRIED])
+    cost = np.minimum(rests, 0 - rests).sum(axis=-1, dtype="uint32")
+    best = np.add.reduceat(np.add.reduceat(cost, rows, axis=1), columns, axis=2).argmin(axis=0)
+    rest = np.empty_like(c)
+    for k in range(len(rows)):
+        for m in range(len(columns)):
+            here = slice(rows[k], rows[k] + (1 << grain)), slice(columns[m], columns[m] + (1 << grain))
+            rest[here] = rests[best[k, m]][here]
+    rest[0, 1:], rest[1:, 0], rest[0, 0] = (c[0, 1:] - c[0, :-1]), (c[1:, 0] - c[:-1, 0]), c[0, 0]
+    return np.array(TRIED)[best], rest
+
+
+def coloured(c: np.ndarray, alpha: int = 255) -> np.ndarray:
+    """Samples (n, 3) as pixels."""
+    c = c.reshape(-1, 3).astype("uint32")
+    return c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2] | np.uint32(alpha << 24)
+
+
+def encode_payload(samples: np.ndarray, width: int, grain: int = 4) -> bytes:
+    """A file of 8-bit samples, three a pixel (red, green, blue), all opaque: as it is, with a palette, with cross-colour or
+    with predictors, whichever leaves the least entropy; with references and a colour cache. One rule for all lengths."""
+    c = samples.reshape(-1, 3)
+    x, height = coloured(c), len(c) // width
+    out = header(width, height, False)
+    n = int(np.flatnonzero(np.r_[True, x[1:] != x[:-1]])[-1]) + 1  # what comes after is a run, which a reference covers
+
+    def left(own: np.ndarray) -> float:
+        return bits_of(own[:n, 1]) + bits_of(own[:n, ::2].reshape(-1))
+
+    sizes, crossed_ = {"as it is": left(c)}, c
+    by_red, by_blue = slopes(c[:n])
+    if by_red or by_blue:
+        green = c[:, 1].view("int8").astype("int32")
+        told = [(green * int(np.int8(np.uint8(m))) >> 5).astype("uint8") for m in (by_red, by_blue)]
+        crossed_ = np.column_stack([c[:, 0] - told[0], c[:, 1], c[:, 2] - told[1]])
+        sizes["cross"] = left(crossed_) + 90
+    colours, index = np.unique(x[:n], return_inverse=True)
+    if len(colours) <= 256:
+        steps = np.diff(channels(colours), axis=0, prepend=0).astype("uint8")
+        sizes["palette"] = bits_of(index) + bits_of(steps[:, 2]) + bits_of(steps[:, 1::2].reshape(-1)) + 120
+    steps_ = c.copy()
+    steps_[1:] -= c[:-1]
+    if left(steps_) < 1.1 * sizes["as it is"]:  # neighbours tell something of a pixel
+        modes, rest = block_modes(c.reshape(height, width, 3), grain)
+        sizes["predictor"] = left(rest.reshape(-1, 3)) + 120 + 2 * modes.size
+    how = min(sizes, key=sizes.get)
+    if how == "palette":
+        out.put(1 | PALETTE << 1, 3)
+        out.put(len(colours) - 1, 8)
+        put_picture(out, joined(np.diff(channels(colours), axis=0, prepend=0))[None, :], False)
+        shift = palette_bits(len(colours))
+        index = np.searchsorted(colours, x).reshape(height, width)
+        index = np.pad(index, ((0, 0), (0, -width % (1 << shift))))
+        width = index.shape[1] >> shift
+        index = (index.reshape(height, -1, 1 << shift) << (np.arange(1 << shift) * (8 >> shift))).sum(-1)
+        x = (index << 8 | 0xFF000000).astype("uint32").reshape(-1)
+    elif how == "cross":
+        out.put(1 | CROSS << 1, 3)
+        out.put(9 - 2, 3)
+        put_picture(out, np.full(((height + 511) >> 9, (width + 511) >> 9), 0xFF000000 | by_blue << 8 | by_red, "uint32"), False, references=True)
+        x = coloured(crossed_)
+    elif how == "predictor":
+        out.put(1 | PREDICTOR << 1, 3)
+        out.put(grain - 2, 3)
+        put_picture(out, (modes.astype("uint32") << 8) | np.uint32(0xFF000000), False)
+        x = coloured(rest, 0)
+    out.put(0, 1)
+    return framed(put_tokens(out, x, width, 0 if how == "predictor" else 255))
