@@ -1,8 +1,7 @@
 """Lossless WebP (VP8L): a decoder of the whole format, and an encoder that can make use of each of its parts.
 
-Pictures are arrays of height x width numbers 0xAARRGGBB. The decoder finds the literals of a stretch of the stream
-at once: the length of each code is looked up for every bit position, and following those lengths from the first
-position gives where the pixels begin. References, cached colours and picture-wide changes of codes go one by one.
+Pictures are arrays of height x width numbers 0xAARRGGBB. The decoder makes the next bits at every bit
+position of a stretch of the stream at once, and finds each symbol and its length by one look into a code's table.
 """
 
 from __future__ import annotations
@@ -56,6 +55,10 @@ class Code:
         left = np.repeat(order, share)[reversed_bits(self.bits)]
         self.symbol, self.length = left, lengths[left]
 
+    def table(self, shift: int) -> list[int]:
+        """symbol << shift << 6 | length for each value of the next `bits` bits."""
+        return (self.symbol << (shift + 6) | self.length).tolist()
+
     @functools.cached_property
     def codes(self) -> np.ndarray:
         return codes_of(self.lengths)
@@ -192,8 +195,9 @@ class Bits:
             symbol, width = symbols[word & mask], widths[word & mask]
             word >>= width
             if symbol < 16:
-                lengths[at] = symbol
-                last, at = symbol or last, at + 1
+                if symbol:
+                    lengths[at] = last = symbol
+                at += 1
             else:
                 base, extra, value = ((3, 2, last), (3, 3, 0), (11, 7, 0))[symbol - 16]
                 n = base + (word & ((1 << extra) - 1))
@@ -217,18 +221,10 @@ class Cache:
     def __init__(self, bits: int):
         self.shift, self.held, self.upto = 32 - bits, [0] * (1 << bits), 0
 
-    def slots(self, pixels: np.ndarray) -> list[int]:
-        return ((pixels * np.uint32(HASH)) >> np.uint32(self.shift)).tolist()
-
-    def enter(self, pixels: np.ndarray, n: int) -> None:
-        """All pixels up to the n-th."""
-        new = pixels[self.upto : n]
-        for k, x in zip(self.slots(new), new.tolist(), strict=True):
-            self.held[k] = x
-        self.upto = n
-
     def colour(self, k: int, pixels: np.ndarray, n: int) -> int:
-        self.enter(pixels, n)
+        for x in pixels[self.upto : n].tolist():
+            self.held[(x * HASH & 0xFFFFFFFF) >> self.shift] = x
+        self.upto = n
         return self.held[k]
 
 
@@ -245,10 +241,9 @@ def picture(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     groups = [[bits.code(n) for n in (280 + ((1 << cached) if cached else 0), 256, 256, 256, 40)] for _ in range(n_groups)]
     out, total, n = np.zeros(width * height, "uint32"), width * height, 0
     cache = Cache(cached) if cached else None
+    if n_groups == 1:
+        return np.array(pixels_of(bits, groups[0], cache, total, width), "uint32").reshape(height, width)
     while n < total:
-        if n_groups == 1:
-            n = stretch(bits, groups[0], cache, out, n, width)
-            continue
         group = groups[int(which[n // width >> grain, n % width >> grain])]
         symbol = bits.symbol(group[0])
         if symbol < 256:
@@ -280,118 +275,75 @@ def copied(out: np.ndarray, n: int, length: int, code: int, width: int) -> int:
 #: Extra bits of length and distance prefixes, and the numbers that those bits are added to.
 EXTRA = np.array([max(0, (k - 2) >> 1) for k in range(40)])
 FIRST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
-
-
-def stretch(bits: Bits, group: list[Code], cache: Cache | None, out: np.ndarray, n: int, width: int) -> int:
-    """Read pixels into out from pixel n on, as many as a stretch of the stream holds; the number of pixels then known.
-
-    Where a pixel, reference or cached colour that began at a bit would end is found for all bits at once; following
-    these ends from the first bit gives where they do begin. References and cached colours are then put in one by one.
-    """
-    total, green, far = len(out), group[0], group[4]
-    if not any(c.bits for c in group[:4]) and green.single < 256:
-        out[n:] = group[3].single << 24 | group[1].single << 16 | green.single << 8 | group[2].single
-        return total
-    base, room = bits.at & ~7, total - n
-    raw = np.frombuffer(bits.data, "uint8", min(len(bits.data) - (base >> 3), STRETCH // 8 + 16), base >> 3)
-    if not len(raw):
-        raise WebPError("the stream ends early")
-    b = np.zeros(len(raw) + 3, "uint32")
-    b[: len(raw)] = raw
-    word = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
-    window = (word[:, None] >> np.arange(8, dtype="uint32")).astype("uint16").reshape(-1)
-    last, place = len(window), np.arange(len(window), dtype="int32")
-    stops: dict[int, np.ndarray] = {}
-    step = None
-    for code in group[:4]:
-        if code.bits:
-            if id(code) not in stops:
-                found = np.empty(last + 1, "int32")
-                np.add(place, code.length[window & ((1 << code.bits) - 1)], out=found[:last])
-                np.minimum(found, last, out=found)
-                found[last] = last
-                stops[id(code)] = found
-            step = stops[id(code)] if step is None else stops[id(code)][step]
-    symbols = green.symbol[window & ((1 << green.bits) - 1)]
-    spots = np.zeros(0, "int64")
-    if (green.lengths[256:] > 0).any():
-        wide = lambda p: (word[np.minimum(p >> 3, len(word) - 1)] >> (p & 7).astype("uint32")).astype("int64")
-        spots = np.flatnonzero(symbols >= 256)
-        kind = symbols[spots]
-        ends = spots + (green.length[window[spots] & ((1 << green.bits) - 1)] if green.bits else 0)
-        refers = kind < 280
-        which, at = kind[refers] - 256, ends[refers]
-        length = FIRST[which] + (wide(at) & ((1 << EXTRA[which]) - 1))
-        at = at + EXTRA[which]
-        told = wide(at) & ((1 << far.bits) - 1)
-        which, at = far.symbol[told], at + far.length[told]
-        back = FIRST[which] + (wide(at) & ((1 << EXTRA[which]) - 1))
-        ends[refers] = at + EXTRA[which]
-        lengths, backs = (np.zeros(len(spots), "int64") for _ in range(2))
-        lengths[refers], backs[refers] = length, back
-        step = place.copy() if step is None else step.copy() if len(stops) == 1 else step
-        step[spots] = np.minimum(ends, last)
-    limit = last - 64 if (base >> 3) + len(raw) < len(bits.data) else last
-    chain, p = [], bits.at - base
-    steps, push = memoryview(step), chain.append
-    while p < limit and len(chain) < room:
-        push(p)
-        p = steps[p]
-    if not chain:
-        raise WebPError("the stream ends early")
-    at = np.array(chain, "int64")
-    kind, size = symbols[at], np.ones(len(at), "int64")
-    special = np.flatnonzero(kind >= 256)
-    own = np.searchsorted(spots, at[special])
-    if len(special):
-        size[special] = np.maximum(1, lengths[own])
-        ends = np.cumsum(size)
-        k = int(np.searchsorted(ends, room)) + 1
-        if k < len(at):
-            p, at, kind, ends, size = chain[k], at[:k], kind[:k], ends[:k], size[:k]
-            own, special = own[special < k], special[special < k]
-        begins = n + ends - size
-        plain = np.flatnonzero(kind < 256)
-        places, at = begins[plain], at[plain]
-    pixels = np.zeros(len(at), "uint32")
-    for code, shift in zip(group[:4], (8, 16, 0, 24), strict=True):
-        if code.bits:
-            here = window[np.minimum(at, last - 1)] & ((1 << code.bits) - 1)
-            pixels |= code.symbol[here].astype("uint32") << np.uint32(shift)
-            at = at + code.length[here]
-        else:
-            pixels |= np.uint32((code.single & 255) << shift)
-    if not len(special):
-        out[n : n + len(pixels)] = pixels
-        n += len(pixels)
-    else:
-        if int(begins[-1] + size[-1]) > total:
-            raise WebPError("a reference out of the picture")
-        out[places] = pixels
-        if cache is None:
-            if (kind >= 280).any():
-                raise WebPError("a symbol beyond the alphabet")
-            for t, s in zip(special.tolist(), own.tolist(), strict=True):
-                copied(out, int(begins[t]), int(lengths[s]), int(backs[s]), width)
-        else:
-            cache.enter(out, n)
-            held, slots, values, known = cache.held, iter(cache.slots(pixels)), iter(pixels.tolist()), iter(own.tolist())
-            for symbol, at in zip(kind.tolist(), begins.tolist(), strict=True):
-                if symbol < 256:
-                    held[next(slots)] = next(values)
-                elif symbol < 280:
-                    s = next(known)
-                    cache.upto = at
-                    cache.enter(out, copied(out, at, int(lengths[s]), int(backs[s]), width))
+PREFIX = list(zip(EXTRA.tolist(), FIRST.tolist(), strict=True))
+
+
+def pixels_of(bits: Bits, group: list[Code], cache: Cache | None, total: int, width: int) -> list[int]:
+    """All pixels of a picture with one group of codes. The next 16 bits at each bit of a stretch of the stream are made at once."""
+    green, red, blue, alpha, far = (c.table(k) for c, k in zip(group, (8, 16, 0, 24, 0), strict=True))
+    in_green, in_red, in_blue, in_alpha, in_far = ((1 << c.bits) - 1 for c in group)
+    if not any(c.bits for c in group[:4]) and group[0].single < 256:
+        return [group[3].single << 24 | group[1].single << 16 | group[0].single << 8 | group[2].single] * total
+    opaque, beyond = 0 if in_alpha else alpha[0], 256 << 14
+    held, shift = (cache.held, cache.shift) if cache else ([], 0)
+    out: list[int] = []
+    n = 0
+    while n < total:
+        base = bits.at & ~7
+        raw = np.frombuffer(bits.data, "uint8", min(len(bits.data) - (base >> 3), STRETCH // 8 + 16), base >> 3)
+        if not len(raw):
+            raise WebPError("the stream ends early")
+        b = np.zeros(len(raw) + 19, "uint32")  # zeros beyond the end
+        b[: len(raw)] = raw
+        word = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
+        window, wide = memoryview((word[:, None] >> np.arange(8, dtype="uint32")).astype("uint16").reshape(-1)), memoryview(word)
+        p, began, last = bits.at - base, n, 8 * len(raw)
+        limit = last - 64 if (base >> 3) + len(raw) < len(bits.data) else last + 1
+        while n < total and p < limit:
+            t = green[window[p] & in_green]
+            if t < beyond:  # symbols and lengths of all four add up
+                t += red[window[p + (t & 63)] & in_red]
+                t += blue[window[p + (t & 63)] & in_blue]
+                t += alpha[window[p + (t & 63)] & in_alpha] if in_alpha else opaque
+                p += t & 63
+                t >>= 6
+                out.append(t)
+                n += 1
+                if held:
+                    held[(t * HASH & 0xFFFFFFFF) >> shift] = t
+                continue
+            p += t & 63
+            t >>= 14
+            if t < 280:
+                extra, first = PREFIX[t - 256]
+                length = first + (wide[p >> 3] >> (p & 7) & ((1 << extra) - 1))
+                p += extra
+                t = far[window[p] & in_far]
+                p += t & 63
+                extra, first = PREFIX[t >> 6]
+                code = first + (wide[p >> 3] >> (p & 7) & ((1 << extra) - 1))
+                p += extra
+                distance = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+                if distance > n or n + length > total:
+                    raise WebPError("a reference out of the picture")
+                if distance >= length:
+                    again = out[n - distance : n - distance + length]
                 else:
-                    next(known)
-                    out[at] = held[symbol - 280]
-            cache.upto = int(begins[-1] + size[-1])
-        n = int(begins[-1] + size[-1])
-    bits.at = base + p
-    if bits.at > bits.end or (bits.at == bits.end and n < total):
-        raise WebPError("the stream ends early")
-    return n
+                    again = (out[n - distance :] * (length // distance + 1))[:length]
+                out += again
+                n += length
+                if held:
+                    for t in again[-distance:]:
+                        held[(t * HASH & 0xFFFFFFFF) >> shift] = t
+            elif held:
+                out.append(held[t - 280])
+                n += 1
+            else:
+                raise WebPError("a symbol beyond the alphabet")
+        bits.at = base + p
+        if bits.at > bits.end or n == began:
+            raise WebPError("the stream ends early")
+    return out
 
 
 # --- transforms
@@ -590,8 +542,9 @@ def description(lengths: bytes) -> tuple[int, int]:
 
 def run_lengths(lengths: np.ndarray):
     """(symbol, extra, bits of extra) of the code-length code; repeats of zeros and of the last length are short."""
-    begins, last = np.flatnonzero(np.diff(lengths, prepend=255)), 8
-    for x, n in zip(lengths[begins].tolist(), np.diff(begins, append=len(lengths)).tolist(), strict=True):
+    begins, last = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1, 8
+    begins = [0, *begins.tolist(), len(lengths)]
+    for x, n in zip(lengths[begins[:-1]].tolist(), map(int.__sub__, begins[1:], begins), strict=False):
         if x:
             if x != last:
                 yield x, 0, 0
@@ -901,10 +854,10 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
     out.put(0, 1)  # one group of codes
     first = np.where(hit, 280 + slots, green) if cached else green
     where, extra, n_extra = prefixes(near)
-    counts = [np.bincount(np.r_[first, 256 + lengths_[0]], minlength=280 + ((1 << cached) if cached else 0)), np.bincount(np.r_[red[~hit], blue[~hit]], minlength=256), np.bincount(where, minlength=40)]
+    counts = [np.bincount(np.concatenate([first, 256 + lengths_[0]]), minlength=280 + ((1 << cached) if cached else 0)), np.bincount(np.concatenate([red[~hit], blue[~hit]]), minlength=256), np.bincount(where, minlength=40)]
     codes = []
     for c in counts:
-        if np.count_nonzero(c) == 0 or (np.count_nonzero(c) == 1 and np.flatnonzero(c)[0] > 255):
+        if c.max() == c.sum() and not c[:256].any():
             c[0] += 1
         codes.append(huffman(c, DEEPEST))
     out.describe(codes[0], DESCRIBED_BY)
@@ -926,22 +879,23 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
     for bits, n in ((lengths_[1].astype("uint64"), lengths_[2]), (words[2][where], width_of[2][where]), (extra.astype("uint64"), n_extra)):
         v = v | bits << w.astype("uint64")
         w = w + n
-    order = np.argsort(np.r_[literal, begin], kind="stable")
-    value, size = np.r_[value, v][order], np.r_[size, w][order]
-    keep = size > 0
-    if not keep.any():
+    values, sizes = np.zeros(len(x), "uint64"), np.zeros(len(x), "int64")
+    values[literal], sizes[literal], values[begin], sizes[begin] = value, size, v, w
+    keep = np.flatnonzero(sizes)
+    if not len(keep):
         return out.value.to_bytes((out.size + 7) // 8, "little")
-    return packed(out, value[keep], size[keep])
+    return packed(out, values[keep], sizes[keep])
 
 
-def slopes(c: np.ndarray) -> tuple[int, int]:
-    """The cross-colour multipliers, in 32nds as bytes, that fit the samples c(n, 3) best: of red by green, of blue by green.
-    None (0) where green tells less than a tenth of the other's variance."""
+def relations(c: np.ndarray) -> tuple[int, int, bool]:
+    """Of samples c(n, 3): the cross-colour multipliers, in 32nds as bytes, that fit best, of red by green and of blue by green,
+    0 where green tells less than a tenth of the other's variance; and whether a pixel tells a tenth of its next one's."""
     apart = c.view("int8").astype("float32")
     apart -= apart.mean(axis=0)
-    both = apart.T @ apart
-    fit = [int(np.clip(np.round(32 * both[1, k] / both[1, 1]), -128, 127)) & 255 if 10 * both[1, k] ** 2 > both[1, 1] * both[k, k] else 0 for k in (0, 2)]
-    return fit[0], fit[1]
+    both = (apart.T @ apart).tolist()
+    green = both[1][1]
+    by = [min(127, max(-128, round(32 * both[1][k] / green))) & 255 if 10 * both[1][k] ** 2 > green * both[k][k] else 0 for k in (0, 2)]
+    return by[0], by[1], 10 * float(np.vdot(apart[1:], apart[:-1])) ** 2 > float(np.vdot(apart, apart)) ** 2
 
 
 def block_modes(c: np.ndarray, grain: int) -> tuple[np.ndarray, np.ndarray]:
@@ -976,13 +930,14 @@ def encode_payload(samples: np.ndarray, width: int, grain: int = 4) -> bytes:
     c = samples.reshape(-1, 3)
     x, height = coloured(c), len(c) // width
     out = header(width, height, False)
-    n = int(np.flatnonzero(np.r_[True, x[1:] != x[:-1]])[-1]) + 1  # what comes after is a run, which a reference covers
+    changes = np.flatnonzero(x[1:] != x[:-1])
+    n = int(changes[-1]) + 2 if len(changes) else 1  # what comes after is a run, which a reference covers
 
     def left(own: np.ndarray) -> float:
         return bits_of(own[:n, 1]) + bits_of(own[:n, ::2].reshape(-1))
 
     sizes, crossed_ = {"as it is": left(c)}, c
-    by_red, by_blue = slopes(c[:n])
+    by_red, by_blue, next_ = relations(c[:n])
     if by_red or by_blue:
         green = c[:, 1].view("int8").astype("int32")
         told = [(green * int(np.int8(np.uint8(m))) >> 5).astype("uint8") for m in (by_red, by_blue)]
@@ -992,9 +947,7 @@ def encode_payload(samples: np.ndarray, width: int, grain: int = 4) -> bytes:
     if len(colours) <= 256:
         steps = np.diff(channels(colours), axis=0, prepend=0).astype("uint8")
         sizes["palette"] = bits_of(index) + bits_of(steps[:, 2]) + bits_of(steps[:, 1::2].reshape(-1)) + 120
-    steps_ = c.copy()
-    steps_[1:] -= c[:-1]
-    if left(steps_) < 1.1 * sizes["as it is"]:  # neighbours tell something of a pixel
+    if next_:
         modes, rest = block_modes(c.reshape(height, width, 3), grain)
         sizes["predictor"] = left(rest.reshape(-1, 3)) + 120 + 2 * modes.size
     how = min(sizes, key=sizes.get)
