@@ -88,11 +88,11 @@ def pack(pieces: DataFrame, capacity: int, group: int = 512) -> DataFrame:
     if "piece" not in pieces.columns:
         pieces = pieces.withColumn("piece", F.monotonically_increasing_id())
     groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // group))
-    # rows without an id are dealt apart: beside nulls, pandas would hold other ids as floats
-    dealt = pieces.withColumn("g", F.expr(f"pmod(xxhash64(piece), {groups}) * 2 + int(doc_id is null)"))
+    # beside nulls, pandas would hold other ids as floats
+    dealt = pieces.withColumn("g", F.expr(f"pmod(xxhash64(piece), {groups})")).withColumn("none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "length", "ids_crc32", "piece"], kind="stable")
+        rows = rows.sort_values(["none", "doc_id", "start", "length", "ids_crc32", "piece"], kind="stable")
         sizes = rows["length"].to_numpy()
         full = sizes >= capacity
         where = np.empty(len(rows), "int64")
@@ -107,7 +107,8 @@ def pack(pieces: DataFrame, capacity: int, group: int = 512) -> DataFrame:
         rows["sequence_id"] = rows["g"] * 2**32 + where
         return rows.drop(columns=["g", "piece"])
 
-    return dealt.groupBy("g").applyInPandas(one, f"{PIECES}, offset long, sequence_id long").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    found = dealt.groupBy("g").applyInPandas(one, f"{PIECES}, none boolean, offset long, sequence_id long")
+    return found.select(F.expr("if(none, null, doc_id)").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, memo: int) -> DataFrame:
