@@ -95,6 +95,15 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
+def foremost(near: np.ndarray, ids: np.ndarray, numbers: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` nearest, ties by id and row, in no order."""
+    if len(near) <= most:
+        return np.arange(len(near))
+    limit = np.partition(near, most - 1)[most - 1]
+    under, level = np.flatnonzero(near < limit), np.flatnonzero(near == limit)
+    return np.r_[under, level[np.lexsort((numbers[level], ids[level]))][: most - len(under)]]
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192, lists: int | None = None, parts: int = 32, target: float = 0.97, rerank: int = 128, most: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query, a usable vector whose id is divisible by `every`, its k nearest other rows found.
 
@@ -156,7 +165,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192
     sent = queries.mapInPandas(asked, "query_id long, query binary, block int").withColumn("chunk", F.expr(f"cast(pmod(xxhash64(query_id), {chunks}) as int)"))
 
     def ranked(asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "float32"))]
+        out: list[tuple] = []
         if len(asking) and len(own):
             own = own.sort_values(["list", "vec_id", "row"], kind="stable")
             ids, numbers, adds = (own[c].to_numpy() for c in ("vec_id", "row", "own"))
@@ -173,19 +182,27 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192
                 near = np.repeat(base, [b - a for _, a, b in mine]) + adds[place] + index.table(query)[codes[place]].sum(1)
                 other = ids[place] != query_id
                 place, near = place[other], near[other].astype("float32")
-                if len(place) > rerank:
-                    best = np.argpartition(near, rerank - 1)[:rerank]
-                    limit = near[best].max()
-                    under, level = np.flatnonzero(near < limit), np.flatnonzero(near == limit)
-                    first = np.r_[under, level[np.lexsort((numbers[place[level]], ids[place[level]]))][: rerank - len(under)]]
-                    place, near = place[first], near[first]
-                out.append((np.full(len(place), query_id), ids[place], numbers[place], near))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "row", "near"), (np.concatenate(o) for o in zip(*out, strict=True)), strict=True)))
-
-    keys = ["block", "chunk"]
-    near = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(ranked, "query_id long, vec_id long, row long, near float")
-    own = Window.partitionBy("query_id")
-    best = near.withColumn("place", F.row_number().over(own.orderBy("near", "vec_id", "row"))).where(F.col("place") <= rerank).select("query_id", "vec_id", "row")
+                first = foremost(near, ids[place], numbers[place], rerank)
+                out.append((query_id, *(x.tobytes() for x in (near[first], ids[place[first]], numbers[place[first]]))))
+        return pd.DataFrame(out, columns=["query_id", "near", "vec_id", "row"]) if out else pd.DataFrame({"query_id": np.zeros(0, "int64"), "near": [], "vec_id": [], "row": []})
+
+    def merged(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near, ids, numbers = (np.frombuffer(b"".join(part[c]), kind) for c, kind in (("near", "f4"), ("vec_id", "i8"), ("row", "i8")))
+        first = foremost(near, ids, numbers, rerank)
+        return near[first], ids[first], numbers[first]
+
+    def fewer(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(part["query_id"].iloc[0], *(x.tobytes() for x in merged(part)))], columns=["query_id", "near", "vec_id", "row"])
+
+    def chosen(part: pd.DataFrame) -> pd.DataFrame:
+        _, ids, numbers = merged(part)
+        return pd.DataFrame({"query_id": part["query_id"].iloc[0], "vec_id": ids, "row": numbers})
+
+    keys, packed = ["block", "chunk"], "query_id long, near binary, vec_id binary, row binary"
+    near, parts_ = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(ranked, packed), at + 1
+    while parts_ > 256:  # a query's lists of many blocks are merged by and by, 256 at most in a task
+        near, parts_ = near.groupBy("query_id", F.expr(f"pmod(xxhash64(near, row), {-(-parts_ // 128)})")).applyInPandas(fewer, packed), -(-parts_ // 128)
+    best = near.groupBy("query_id").applyInPandas(chosen, "query_id long, vec_id long, row long")
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -193,7 +210,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = 8192
                 yield pd.DataFrame({"query_id": part["query_id"], "vec_id": part["vec_id"], "row": part["row"], "score": np.sqrt(((matrix(part["vector"]) - matrix(part["query"])) ** 2).sum(1))})
 
     exact = best.join(rows.select("row", "vector"), "row").join(queries, "query_id").mapInPandas(measured, "query_id long, vec_id long, row long, score double")
-    rank = F.row_number().over(own.orderBy("score", "vec_id", "row")).cast("int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id", "row")).cast("int")
     return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
