@@ -129,3 +129,64 @@ def test_media_query(spark, tables, where):
         own = (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])
         assert own in expected[r["doc_id"]]
         assert by_text.setdefault(r["payload_sha256"], (r["media_bytes"], r["media_sha256"], r["feature"])) == (r["media_bytes"], r["media_sha256"], r["feature"])
+
+
+def parts_of(data):
+    """What a file makes use of, by its first bits: transforms, and whether there is a cache; references by decoding."""
+    size, seen = struct.unpack_from("<I", data, 16)[0], set()
+    bits = webp.Bits(data[21 : 20 + size])
+    width, height = bits.read(14) + 1, bits.read(14) + 1
+    bits.read(4)
+    while bits.read(1):
+        kind = bits.read(2)
+        seen.add(("predictor", "cross", "green", "palette")[kind])
+        if kind in (webp.PREDICTOR, webp.CROSS):
+            grain = bits.read(3) + 2
+            webp.picture(bits, (width + (1 << grain) - 1) >> grain, (height + (1 << grain) - 1) >> grain, False)
+        elif kind == webp.PALETTE:
+            n = bits.read(8) + 1
+            webp.picture(bits, n, 1, False)
+    if cached := (bits.read(4) if bits.read(1) else 0):
+        seen.add("cache")
+    bits.read(1)
+    green = bits.code(280 + ((1 << cached) if cached else 0))
+    if green.lengths[256:280].any():
+        seen.add("references")
+    return seen
+
+
+def test_the_query_makes_use_of_every_part(spark, tmp_path):
+    """Texts that each part makes smaller: all of them are in the query's own files, and come back."""
+    draw = np.random.default_rng(3)
+    ramp = "".join(chr(33 + k % 90) for k in range(4000))
+    wave = "".join(chr(int(75 + 40 * np.sin(k / 90))) for k in range(9000))
+    tied = "".join(3 * chr(c) for c in draw.integers(33, 120, 4000))
+    few = "".join("".join(p) for p in draw.choice(["abc", "xyz", "123", "..,", "the"], 3000))
+    prose = " ".join(draw.choice(["the", "of", "house", "river", "in", "and", "stone", "light"], 3000))
+    letters = "".join(chr(c) for c in draw.integers(97, 123, 30_000))
+    rows = list(enumerate([ramp, wave, tied, few, prose, letters, "short"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    files = {r["id"]: bytes(r["media"]) for r in media.stored(spark.createDataFrame(rows, "id long, text string")).collect()}
+    used = {k: parts_of(m) for k, m in files.items()}
+    assert {"predictor", "cross", "palette", "cache", "references"} <= set().union(*used.values()), used
+    for r in queries()["op9_lossless_webp"](spark, f"file://{tmp_path}").collect():
+        payload = media.padded(dict(rows)[r["doc_id"]].encode())
+        assert (r["payload_sha256"], r["media_sha256"]) == (sha256(payload).hexdigest(), sha256(files[r["doc_id"]]).hexdigest())
+
+
+def test_files_of_the_data_are_smaller_and_make_use_of_parts(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    payloads = [media.padded(t.encode()) for t in texts]
+    files = [media.store(p) for p in payloads]
+    used = [parts_of(m) for m in files]
+    assert sum("references" in u for u in used) > 0.9 * len(used) and any("cache" in u for u in used) and any("palette" in u for u in used)
+    assert sum(map(len, files)) < 0.75 * sum(len(webp.encode_samples(np.frombuffer(p, "uint8"), 192, 8192)) for p in payloads)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_payloads_of_every_kind(seed):
+    draw = np.random.default_rng(seed)
+    n = int(draw.choice([1, 5, 192, 700, 3000])) * 3
+    raw = [draw.bytes(n), bytes(n), bytes(draw.integers(0, 3, n).astype("uint8")), (np.arange(n) // 7 % 251).astype("uint8").tobytes(), b"ab" * n, np.repeat(draw.integers(0, 255, n // 3), 3).astype("uint8").tobytes()][seed % 6]
+    payload = media.padded(raw)
+    assert b"".join(map(media.samples, media.load(media.store(payload)))) == payload

@@ -122,3 +122,75 @@ def test_all_passages_of_a_long_text_are_learned_from(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "a word " * 6000) for k in range(20)], "doc_id long, text string")
     quality.train(docs, docs.selectExpr("doc_id", "1 as quality"))
     assert set(seen) == {70}
+
+
+def passage_numbers(text):
+    """One passage's encoding by counting in plain Python, from the definitions."""
+    out = [0.0] * quality.SIZE
+    kinds = [int(quality.TABLE[min(ord(c), 256)]) for c in text]
+    for k in kinds:
+        out[k] += 1 / len(text)
+    words = text.split()
+    out[quality.FIGURES : quality.LETTERS_FROM] = [sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)), len(set(words)) / max(1, len(words)), len(words) / 600, len(text) / 600, sum(w.isupper() for w in words) / max(1, len(words))]
+    for w in words:
+        out[quality.WORDS_FROM + zlib.crc32(w.encode()) % quality.WORDS] += 1 / len(words)
+    return out, kinds
+
+
+def test_scores_against_a_forward_pass_in_plain_python(spark):
+    """Every passage by itself, its weight from the gated attention layer, the weighted sum, the logistic output."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    w = {k: v.astype("f8") for k, v in model.w.items()}
+    for text in ["", "\u0434\u043e\u043c " * 300, "x" * 1801, *[r["text"] or "" for r in docs.orderBy("doc_id").limit(30).collect()]]:
+        passages = [text[k : k + 600] for k in range(0, len(text), 600)] or [""]
+        rows = quality.encode([text])[0].astype("f8")
+        assert len(rows) == len(passages)
+        for row, own in zip(rows, passages, strict=True):
+            expected, kinds = passage_numbers(own) if own else ([0.0] * quality.SIZE, [])
+            simple = [*range(quality.CLASSES), *range(quality.FIGURES, quality.LETTERS_FROM), *range(quality.WORDS_FROM, quality.SIZE)]
+            np.testing.assert_allclose(row[simple], np.array(expected)[simple], atol=1e-6)
+        hidden, energy = [], []
+        for row in rows:
+            h = np.tanh((row - model.mean) / model.scale @ w["W"] + w["b"])
+            gate = 1 / (1 + np.exp(-(h @ w["U"])))
+            hidden.append(h)
+            energy.append(float((np.tanh(h @ w["V"]) * gate) @ w["a"][:, 0]))
+        weights = np.exp(np.array(energy) - max(energy))
+        z = sum(a * h for a, h in zip(weights / weights.sum(), hidden, strict=True))
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(float(z @ w["c"][:, 0]) + float(w["d"][0])))), abs=2e-5)
+
+
+def test_words_of_every_script_tell_texts_apart():
+    a, b = (quality.encode([t])[0] for t in ("\u0434\u043e\u043c \u043c\u0438\u0440 \u043b\u0435\u0441", "\u0440\u043e\u0442 \u0441\u043e\u043d \u0434\u0430\u0440"))
+    assert (a[:, : quality.FIGURES] == b[:, : quality.FIGURES]).all() and (a != b).any()
+    a, b = (quality.encode([t])[0] for t in ("\u7684\u4e00\u662f", "\u4eba\u5929\u5730"))
+    assert (a != b).any()
+
+
+def test_the_sample_is_bounded_in_passages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y: seen.extend(map(len, bags)))
+    docs = spark.createDataFrame([(k, "a word " * (6000 if k % 2 else 10)) for k in range(40)], "doc_id long, text string")
+    quality.train(docs, docs.selectExpr("doc_id", "1 as quality"), passages=200)
+    assert sum(seen) <= 200 and set(seen) == {1, 70} and seen.count(1) > 8  # a long document that is too much does not end the sample
+
+
+def test_queries_in_several_chunks_and_blocks(spark):
+    draw = np.random.default_rng(5)
+    rows = [(k, draw.normal(size=6).tolist()) for k in range(6000)]
+    found = by_query(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, most=50))
+    expected = nearest(rows, 20)
+    hits = sum(len({v for v, _ in found[q]} & {v for v, _ in expected[q]}) for q in expected)
+    assert set(found) == set(expected) and hits >= 0.9 * 10 * len(expected)
+
+
+def test_asymmetric_distances():
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(500, 10))
+    index = ann.Index(x, 7, 4)
+    near, codes, own = index.encode(x)
+    coded = index.coarse[near] + np.hstack([book[codes[:, k]] for k, (_, _, book) in enumerate(index.parts())])
+    q = draw.normal(size=10)
+    told = ((index.coarse[near] - q) ** 2).sum(1) + own + index.table(q)[codes + 256 * np.arange(4)].sum(1)
+    np.testing.assert_allclose(told, ((coded - q) ** 2).sum(1), rtol=1e-4, atol=1e-4)

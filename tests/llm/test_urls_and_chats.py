@@ -48,6 +48,18 @@ def test_weights_and_limit(spark):
     assert found == {1: "block", 2: "allow", 3: "block"}
 
 
+@pytest.mark.parametrize(
+    ("url", "verdict"),
+    [("http://a.org/free%20pills", "block"), ("http://a.org/free%2Fbets", "block"), ("http://a.org/caf\u00e9ads-\u0434bets", "allow"), ("http://a.org/%D0%B4bets-free", "allow"), ("http://a.org/p%6Frn", "block"), ("http://a.org/free%ff%20pills", "allow"), ("http://a.org/free-win", "allow"), ("http://a.org/free-win-deal", "block"), ("http://a.org/\u65e5porn", "allow"), ("http://a.org/100%-porn", "block")],
+)
+def test_scripts_and_percent_codes(spark, url, verdict):
+    df = spark.createDataFrame([(1, url)], "page_id long, url string")
+    assert url_filter.judged(df).first()["verdict"] == verdict
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert con.execute(f"select verdict from ({oracle_sql()['op6_url_filter']})").fetchall() == [(verdict,)]
+
+
 # --- templates
 
 
