@@ -60,6 +60,16 @@ def distinct_contents(df: DataFrame, key: str, seen: DataFrame | None) -> DataFr
     return rows.join(carriers, F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col(f"r.{key}") == F.col(f"c.{key}"))).select(f"r.{key}", "r.text")
 
 
+#: Ids that are sent to all tasks at once: some tens of megabytes there.
+FEW = 1_000_000
+
+
+def of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ids(key), a table of distinct ids that written() made. Up to FEW ids, which are counted
+    first, go to the rows; beyond, both sides are shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, "left_semi")
+
+
 def joined_back(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """rows(key, ...) with the columns of found(key, ...), nulls where it has none; one row a row.
 

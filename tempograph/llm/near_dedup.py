@@ -152,9 +152,11 @@ def confirmed(least: int):
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, found) for the wanted ids, a written table; texts come in once for each row, so that repeated rows give repeated sets, which do no harm."""
-    own = docs.select("id", "text").join(wanted, "id", "left_semi")
-    return common.written(own.mapInArrow(sets, "id long, found binary"), "sets")
+    """(id, found) for the wanted distinct ids, a written table; texts come in once for each row, so that repeated rows give repeated sets, which do no harm."""
+    wanted = common.written(wanted, "wanted")
+    found = common.written(common.of_ids(docs.select("id", "text"), wanted, "id").mapInArrow(sets, "id long, found binary"), "sets")
+    common.drop(wanted)
+    return found
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -319,5 +321,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose id is their group's smallest; of repeated rows all stay, and so do rows without an id."""
     found = groups(docs.select(F.col("doc_id").alias("id"), "text")).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    first = docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    first = common.of_ids(docs, common.written(found, "kept"), "doc_id").select(docs.columns)
     return first.unionByName(docs.where(F.col("doc_id").isNull()))
