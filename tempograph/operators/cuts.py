@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import inverse_root
 from . import matrices
-from .eigen import Arrays, Relations, dot, greatest, signed
+from .eigen import Arrays, Relations, dot, few_pairs, greatest, signed, snapshots_fit, sparse_product
 from .order import ranged, running
 from .shared import written
 from .spectral import canonical
@@ -101,19 +101,19 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
     """(t, i, ev): each snapshot's smallest eigenpairs, joined over time by one small problem for each pair's number.
 
     Link terms join equal numbers only, so that the whole problem falls into one tridiagonal problem of T x T for
-    each number k >= 1; the one with the greatest eigenvalue gives the weights.
+    each number k >= 1; the one with the greatest eigenvalue gives the weights. A snapshot's entries, not its n * n
+    cells, are in one task; their number is checked.
     """
     r, c = min(rank, n - 1), 3.0 * (n + 2.0 * beta) * n
     deg = matrices.degree(adj, rows)
     cells = matrices.laplacian_n1(adj, deg) if normalized else matrices.laplacian(adj, deg)
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((n, n))
-        x[part["i"], part["j"]] = part["val"]
-        values, vectors = np.linalg.eigh(x)
-        u = canonical(vectors[:, :r])
-        return pd.DataFrame({"t": part["t"].iloc[0], "k": np.arange(r), "lam": values[:r], "u": [v.tobytes() for v in u.T]})
+        values, vectors = few_pairs(part, n, r, smallest=True)
+        u = canonical(vectors)
+        return pd.DataFrame({"t": part["t"].iloc[0], "k": np.arange(r), "lam": values, "u": [v.tobytes() for v in u.T]})
 
+    cells = snapshots_fit(written(cells, "cells"))
     found = written(cells.groupBy("t").applyInPandas(pairs, "t long, k long, lam double, u binary"), "eigenpairs")
 
     def small(part: pd.DataFrame) -> pd.DataFrame:
@@ -138,21 +138,6 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
     return chosen.select("t", "u", "weight").mapInPandas(spread, "t long, i long, ev double")
 
 
-def sparse_product(cells: pd.DataFrame, size: int):
-    """x to L x on the driver, from entries (row, col, val) in any order."""
-    cells = cells.sort_values("row")
-    row, col, val = (cells[c].to_numpy() for c in ("row", "col", "val"))
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-
-    def apply(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((size, x.shape[1]))
-        for k in range(x.shape[1]):
-            out[row[first], k] = np.add.reduceat(val * x[col, k], first)
-        return out
-
-    return apply
-
-
 def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: int, length: int, beta: float = 1.0, cost: float = 1.0, normalized: bool = False, dense: int = 4096, dims: int = 1, local: int = 4_000_000) -> DataFrame:
     """(t, i, ev) or, with dims > 1, (t, i, ev, dim): the vector that a method sweeps.
 
@@ -169,8 +154,8 @@ def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: in
     coefficient = 3.0 * (n + 2.0 * beta)
     if n * length <= dense:
         x = np.zeros((n * length, n * length))
-        for r in cells.toLocalIterator():
-            x[r["row"], r["col"]] += r["val"]
+        own = cells.toPandas()
+        np.add.at(x, (own["row"].to_numpy(), own["col"].to_numpy()), own["val"].to_numpy())
         c = np.kron(np.eye(length), n * np.eye(n) - np.ones((n, n)))
         m = {"diff": coefficient * c - x, "laplacian": -x, "prod": c @ x @ c.T}[method]
         values, vectors = np.linalg.eigh((m + m.T) / 2)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import guarded_inverse_root
-from .eigen import Relations, dot, greatest, signed
+from .eigen import Relations, dot, few_pairs, greatest, signed, snapshots_fit
 from .shared import written
 
 DENSE = 4096
@@ -113,18 +113,16 @@ def ulse_n1(cells: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, d: int,
 def omni(adj: DataFrame, rows: DataFrame, n: int, d: int) -> DataFrame:
     """(t, i, emb): the d greatest of all snapshots' singular triplets; a triplet's column is non-zero at its own time only.
 
-    Each snapshot gives its d strongest triplets from a task of its own; the d strongest of all are chosen by (value, t, k).
+    Each snapshot gives its d strongest triplets from a task of its own, which holds its entries, never its n * n cells beyond
+    eigen.DENSE_SNAPSHOT nodes; the number of entries is checked. The d strongest of all are chosen by (value, t, k).
     """
 
     def triplets(rows_: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((n, n))
-        x[rows_["i"], rows_["j"]] = rows_["w"]
-        values, vectors = np.linalg.eigh(x)
-        first = np.argsort(-np.abs(values), kind="stable")[:d]
-        u = canonical(vectors[:, first])
-        return pd.DataFrame({"t": rows_["t"].iloc[0], "k": np.arange(len(first)), "sigma": np.abs(values[first]), "u": [c.tobytes() for c in u.T]})
-
-    found = written(adj.groupBy("t").applyInPandas(triplets, "t long, k long, sigma double, u binary"), "triplets")
+        values, vectors = few_pairs(rows_.rename(columns={"w": "val"}), n, d)
+        u = canonical(vectors)
+        return pd.DataFrame({"t": rows_["t"].iloc[0], "k": np.arange(len(values)), "sigma": np.abs(values), "u": [c.tobytes() for c in u.T]})
+
+    found = written(snapshots_fit(adj).groupBy("t").applyInPandas(triplets, "t long, k long, sigma double, u binary"), "triplets")
     best = found.orderBy(F.desc("sigma"), "t", "k").select("t", "k", "sigma").limit(d).collect()
     place = found.sparkSession.createDataFrame([(r["t"], r["k"], c) for c, r in enumerate(best)], "t long, k long, c int")
 

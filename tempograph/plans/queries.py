@@ -332,22 +332,27 @@ def cut_prod(spark, sf_dir):
 # --- spectral embeddings
 
 
-@query()
+def components(embedding: DataFrame) -> DataFrame:
+    """(t, i, k, x): a row for each component."""
+    return embedding.select("t", "i", F.posexplode("emb").alias("k", "x")).select("t", "i", F.col("k").cast("long").alias("k"), six("x"))
+
+
+@query(and_(SUPPLY, sql.vectors("adj", "w", 3)) + sql.embedded("adj", "w", "k"))
 def uase(spark, sf_dir):
     g = supply_graph(spark, sf_dir)
-    return spectral.uase(g.adjacency, g.nodes, g.rows, g.n, 3)
+    return components(spectral.uase(g.adjacency, g.nodes, g.rows, g.n, 3))
 
 
-@query()
+@query(and_(SUPPLY, sql.CONST, sql.N1 + ", " + sql.vectors("n1", "val", 4, "(select 4.0 * len from size)")) + sql.embedded("n1", "(c.val - case when c.i = c.j then 1 else 0 end)", "3 - k", "k > 0"))
 def ulse_n1(spark, sf_dir):
     g = supply_graph(spark, sf_dir)
-    return spectral.ulse_n1(g.n1(), g.nodes, g.rows, g.n, 3, g.length)
+    return components(spectral.ulse_n1(g.n1(), g.nodes, g.rows, g.n, 3, g.length))
 
 
-@query()
+@query(and_(SUPPLY, sql.CONST, sql.N2 + ", " + sql.vectors("n2", "val", 3)) + sql.embedded("n2", "val", "k"))
 def ulse_n2(spark, sf_dir):
     g = supply_graph(spark, sf_dir)
-    return spectral.ulse_n2(g.n2(), g.nodes, g.rows, g.n, 3)
+    return components(spectral.ulse_n2(g.n2(), g.nodes, g.rows, g.n, 3))
 
 
 @query()

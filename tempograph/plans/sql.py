@@ -25,7 +25,7 @@ spine as (select t, i from times, nodes),
 size as (select (select count(*) from nodes) as n, (select count(*) from times) as len),
 deg as (select spine.t, spine.i, coalesce(sum(w), 0.0) as deg from spine left join adj on adj.t = spine.t and adj.i = spine.i group by all)"""
 
-CONST = "dreg as (select t, i, deg + 0.1 as deg from deg), areg as (select i, sum(deg) + 0.1 as deg from deg group by i)"
+CONST = "dreg as materialized (select t, i, deg + 0.1 as deg from deg), areg as materialized (select i, sum(deg) + 0.1 as deg from deg group by i)"
 
 N1 = """
 n1 as (select t, i, j, sum(val) as val from (
@@ -44,6 +44,33 @@ def gram(cells: str, val: str = "val") -> str:
 select a.i, b.i as j, round(sum(a.{val} * b.{val}), 6) + 0.0 as val from {cells} a join {cells} b on a.t = b.t and a.j = b.j and a.i <= b.i group by all"""
 
 
+def vectors(cells: str, val: str, count: int, bound: str | None = None, squarings: int = 22) -> str:
+    """vec(k, i, u, lam): the Gram matrix's eigenvectors of the `count` greatest eigenvalues, or, with a bound on them, of the
+    smallest ones; k from 0. A power 2**squarings of the matrix is the first one's projector; each next one is that of
+    what is left. Signs are such that the largest entry (the first of equals) is positive."""
+    own = f"select a.i, b.i as j, sum(a.{val} * b.{val}) as v from {cells} a join {cells} b on a.t = b.t and a.j = b.j group by all"
+    if bound:
+        own = f"select a.i, b.i as j, case when a.i = b.i then {bound} else 0 end - coalesce(g.v, 0) as v from nodes a join nodes b on true left join ({own}) g on g.i = a.i and g.j = b.i"
+    parts = [f"g0 as materialized ({own})"]
+    for k in range(count):
+        parts.append(f"p{k}_0 as materialized (select i, j, v / (select sum(v * v) from g{k}) ** 0.5 as v from g{k})")
+        for n in range(squarings):
+            parts.append(f"p{k}_{n + 1} as materialized (select a.i, b.j, sum(a.v * b.v) / (select sum(v * v) from p{k}_{n}) as v from p{k}_{n} a join p{k}_{n} b on a.j = b.i group by all)")
+        last = f"p{k}_{squarings}"
+        parts.append(f"w{k} as materialized (select a.i, a.v / sqrt(b.v) as u from {last} a join (select i, v from {last} where i = j order by v desc, i limit 1) b on a.j = b.i)")
+        parts.append(f"l{k} as materialized (select sum(a.u * g.v * b.u) / (select sum(u * u) from w{k}) as lam from g{k} g join w{k} a on a.i = g.i join w{k} b on b.i = g.j)")
+        parts.append(f"u{k} as materialized (select i, u / (select sqrt(sum(u * u)) from w{k}) * (select case when u < 0 then -1 else 1 end from w{k} order by round(abs(u) / (select sqrt(sum(u * u)) from w{k}), 12) desc, i limit 1) as u from w{k})")
+        parts.append(f"g{k + 1} as materialized (select g.i, g.j, g.v - lam * a.u * b.u as v from g{k} g join u{k} a on a.i = g.i join u{k} b on b.i = g.j, l{k})")
+    lam = f"{bound} - lam" if bound else "lam"
+    return ", ".join([*parts, "vec as (" + " union all ".join(f"select {k} as k, i, u, {lam} as lam from u{k}, l{k}" for k in range(count)) + ")"])
+
+
+def embedded(cells: str, weight: str, k: str, where: str = "true") -> str:
+    """(t, i, k, x): the sum over a column's entries of weight times u, by the fourth root of the eigenvalue, for every row of the spine."""
+    return f""" select s.t, s.i, cast(s.k as bigint) as k, round(coalesce(x, 0), 6) + 0.0 as x from (select t, spine.i, {k} as k from spine, (select distinct k from vec) where {where}) s
+left join (select c.t, c.j, {k} as k, sum({weight} * u / lam ** 0.25) as x from {cells} c join vec on vec.i = c.i where {where} group by all) f on f.t = s.t and f.j = s.i and f.k = s.k"""
+
+
 def supra(normalized: bool) -> str:
     blocks = "n1" if normalized else "lap"
     swap = "(select t, i, n from spine, size where t < len - 1)"

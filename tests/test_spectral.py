@@ -1,9 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from graphs import dense, embedding, random_edges, relation, snapshots
-from tempograph.operators import spectral
+from tempograph.operators import cuts, eigen, spectral
 from tempograph.operators.eigen import NotConverged
 from tempograph.plans.graphs import Graph
 
@@ -108,3 +109,49 @@ def test_too_few_rounds_are_an_error(spark):
     g = Graph(relation(spark, random_edges(11, n=60, length=2, share=0.1)))
     with pytest.raises(NotConverged):
         spectral.subspace(g.n1(), g.nodes, 3, 1, 5, True, 8.0)
+
+
+@pytest.mark.parametrize("smallest", [False, True])
+def test_few_pairs_of_a_sparse_snapshot_are_those_of_the_dense_one(monkeypatch, smallest):
+    """300 nodes in three groups of their own density: values, residuals and spaces with the dense way switched off."""
+    draw, group = np.random.default_rng(8), np.repeat(range(3), 100)
+    x = np.triu(draw.random((300, 300)) < np.where(group[:, None] == group, 0.3, 0.02) * (1 + group / 4), 1).astype(float)
+    x += x.T
+    if smallest:
+        x = np.diag(x.sum(1)) - x
+    i, j = np.nonzero(x)
+    cells = pd.DataFrame({"i": i, "j": j, "val": x[i, j]})
+    expected, u = eigen.few_pairs(cells, 300, 3, smallest)
+    monkeypatch.setattr(eigen, "DENSE_SNAPSHOT", 1)
+    found, v = eigen.few_pairs(cells, 300, 3, smallest)
+    np.testing.assert_allclose(found, expected, rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose(spectral.canonical(v), spectral.canonical(u), atol=1e-6)
+    assert np.abs(x @ v - v * found).max() < 1e-5
+
+
+def test_omni_and_fast_cuts_without_dense_snapshots(spark, monkeypatch):
+    g = Graph(relation(spark, random_edges(12, n=40, length=3, share=0.2)))
+    both = lambda: (embedding(spectral.omni(g.adjacency, g.rows, g.n, 3), (3, 40, 3)), dense(cuts.fast_vector(g.adjacency, g.rows, 40, 3, rank=4), (3, 40), ("t", "i"), "ev"))
+    a, b = both()
+
+    def sparse_pairs(cells, n, wanted, smallest=False):  # in workers, which know nothing of this module
+        from tempograph.operators import eigen as own
+
+        before, own.DENSE_SNAPSHOT = own.DENSE_SNAPSHOT, 1
+        try:
+            return own.few_pairs(cells, n, wanted, smallest)
+        finally:
+            own.DENSE_SNAPSHOT = before
+
+    monkeypatch.setattr(spectral, "few_pairs", sparse_pairs)
+    monkeypatch.setattr(cuts, "few_pairs", sparse_pairs)
+    c, d = both()
+    np.testing.assert_allclose(c, a, atol=1e-6)
+    np.testing.assert_allclose(np.abs(d), np.abs(b), atol=1e-5)
+
+
+def test_a_snapshot_that_is_too_large_is_an_error(spark, monkeypatch):
+    g = Graph(relation(spark, random_edges(13, n=10, length=2)))
+    monkeypatch.setattr(eigen, "ENTRIES", 3)
+    with pytest.raises(ValueError, match="entries"):
+        spectral.omni(g.adjacency, g.rows, g.n, 2)
