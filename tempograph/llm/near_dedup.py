@@ -233,7 +233,7 @@ def surviving(limit: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right, a, b, _ = near_pairs(rows, *key[1:], limit)
         ids = np.unique(np.r_[left["id"].to_numpy()[a], right["id"].to_numpy()[b]])
-        return rows.loc[rows["id"].isin(ids), ["band", "number", "i", "j", "id", "block", "root"]]
+        return rows.loc[rows["id"].isin(ids), ["band", "number", "i", "j", "id", "block", "root", "sketch", "bands"]]
 
     return run
 
@@ -301,9 +301,10 @@ def groups(docs: DataFrame, least: int = 75) -> DataFrame:
         blocks = dealt.withColumn("with", F.explode(F.expr("concat(sequence(0, n_other - 1), if(block < 0, array(), sequence(-n_main, -1)))")))
         blocks = blocks.select("band", "number", "id", "root", "block", F.expr("if(block < 0 or with >= 0 and with < block, with, block)").alias("i"), F.expr("if(block < 0 or with >= 0 and with < block, block, with)").alias("j"))
         marks, keys = classes.select("id", "sketch", "bands"), ["band", "i", "j"]
-        near = common.written(blocks.join(marks, "id").groupBy(*keys).applyInPandas(surviving(limit), "band long, number int, i int, j int, id long, block int, root long"), "surviving")
+        kinds = "band long, number int, i int, j int, id long, block int, root long, sketch array<long>, bands array<long>"
+        near = common.written(blocks.join(marks, "id").groupBy(*keys).applyInPandas(surviving(limit), kinds), "surviving")
         own = full_sets(near.select("id").distinct(), docs)
-        more = near.join(marks, "id").join(own, "id").groupBy(*keys).applyInPandas(compared(limit, least), "a long, b long")
+        more = near.join(own, "id").groupBy(*keys).applyInPandas(compared(limit, least), "a long, b long")
         roots = components(common.written(links.unionByName(more), "links"))
         common.drop(near)
         common.drop(own)
