@@ -60,14 +60,34 @@ def distinct_contents(df: DataFrame, key: str, seen: DataFrame | None) -> DataFr
     return rows.join(carriers, F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col(f"r.{key}") == F.col(f"c.{key}"))).select(f"r.{key}", "r.text")
 
 
-#: Ids that are sent to all tasks at once: some tens of megabytes there.
-FEW = 1_000_000
+#: Words of 64 marks in a table of marks: what is sent to all tasks, whatever the number of ids.
+MARK_WORDS = 1 << 20
+
+
+def marked(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be in ids(key), and those whose key certainly is not (null keys too).
+
+    Each id sets one of 64 MARK_WORDS marks, which a hash names. The words that have a mark, MARK_WORDS of two numbers at
+    most, go to the rows, and are the only thing that does. The more ids there are, the more other rows may be in them.
+    """
+    word, bit = free_name(df, "__word"), free_name(df, "__bit")
+    place = lambda c: F.xxhash64(c.cast("long"))
+    number, mark = (lambda c: F.pmod(place(c), F.lit(MARK_WORDS))), (lambda c: F.shiftright(place(c), 58).bitwiseAND(63).cast("int"))
+    words = ids.where(F.col(key).isNotNull()).select(number(F.col(key)).alias(word), mark(F.col(key)).alias(bit)).groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit))).alias(bit))
+    rows = df.withColumn(word, number(F.col(key))).join(F.broadcast(words), word, "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col(bit), mark(F.col(key))).bitwiseAND(F.lit(1)) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return rows.where(maybe).select(df.columns), rows.where(~maybe).select(df.columns)
 
 
 def of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is in ids(key), a table of distinct ids that written() made. Up to FEW ids, which are counted
-    first, go to the rows; beyond, both sides are shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, "left_semi")
+    """The rows of df whose key is in ids(key), a written table of distinct ids. Only rows whose marks say that they may be are shuffled."""
+    return marked(df, ids, key)[0].join(ids, key, "left_semi").select(df.columns)
+
+
+def not_of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is null or not in ids(key), a written table of distinct ids; shuffled as in of_ids()."""
+    maybe, others = marked(df, ids, key)
+    return others.unionByName(maybe.join(ids, key, "left_anti").select(df.columns))
 
 
 def joined_back(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:

@@ -321,6 +321,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose id is their group's smallest; of repeated rows all stay, and so do rows without an id."""
-    found = groups(docs.select(F.col("doc_id").alias("id"), "text")).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    first = common.of_ids(docs, common.written(found, "kept"), "doc_id").select(docs.columns)
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = groups(docs.select(F.col("doc_id").alias("id"), "text")).where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.max(F.col("id") == F.col("component_id")).alias("stays"))
+    return common.not_of_ids(docs, common.written(found.where("not stays").select("doc_id"), "dropped"), "doc_id")
