@@ -80,14 +80,15 @@ def marked(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFram
 
 
 def of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is in ids(key), a written table of distinct ids. Only rows whose marks say that they may be are shuffled."""
-    return marked(df, ids, key)[0].join(ids, key, "left_semi").select(df.columns)
+    """The rows of df whose key is in ids(key), a written table of distinct ids. Only rows whose marks say that they may be are shuffled,
+    and they are at every size: Spark would send few ids to them, so that what is measured on little would not hold for much."""
+    return marked(df, ids, key)[0].join(ids.hint("merge"), key, "left_semi").select(df.columns)
 
 
 def not_of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key is null or not in ids(key), a written table of distinct ids; shuffled as in of_ids()."""
     maybe, others = marked(df, ids, key)
-    return others.unionByName(maybe.join(ids, key, "left_anti").select(df.columns))
+    return others.unionByName(maybe.join(ids.hint("merge"), key, "left_anti").select(df.columns))
 
 
 def joined_back(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
