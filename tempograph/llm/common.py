@@ -23,11 +23,13 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Spark hand whole texts to Python in batches of at most `rows`: they lie outside the heap, several at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Let Spark hand texts and sets to Python in batches of at most `rows`, and of not much more than `size` bytes: they lie outside
+    the heap, several at a time, and a thousand long ones are up to 64 MB by Spark's own setting."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,3 +24,20 @@ def test_rows_without_ids(spark):
     ids = common.written(df.select("id").where(F.lit(False)), "ids")
     assert common.of_ids(df, ids, "id").count() == 0 and common.not_of_ids(df, ids, "id").count() == 2
     assert common.of_ids(df.limit(0), common.written(df.select("id"), "ids"), "id").count() == 0
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """300 texts of 100,000 characters: no batch has more than 4 MB and a row, however few rows that is; less is left as it is."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        common.small_batches(spark)
+        long = spark.range(300).coalesce(1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+        sizes = [r["n"] for r in long.mapInArrow(lambda parts: (pa.RecordBatch.from_arrays([pa.array([p.nbytes])], ["n"]) for p in parts), "n long").collect()]
+        assert sum(sizes) > 30_000_000 and max(sizes) < (4 << 20) + 200_000
+        spark.conf.set(keys[1], 1000)
+        common.small_batches(spark)
+        assert spark.conf.get(keys[1]) == "1000"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
