@@ -36,14 +36,23 @@ def relabelled(static: DataFrame, mappings: list[dict[int, int]]) -> DataFrame:
     return rows.select("e.t", "i", F.coalesce(F.try_element_at("e.m", "label"), "label").alias("label"))
 
 
+#: Nodes of a block of labels: block pairs are what is shuffled, and their pairs of nodes are made where they are read.
+BLOCK = 512
+
+
 def probabilities(labels: DataFrame, p: float, q: float) -> DataFrame:
     """(t, i, j, prob) for j <= i: p within a label, q between. labels(t, i, label), i numbered from 0 without gaps.
 
-    The rows are the answer's own: each i gets the numbers up to it, and meets the other's label by (t, j).
+    The rows are the answer's own, and are neither joined nor shuffled: each time's labels travel as arrays of BLOCK nodes, a
+    pair of arrays for BLOCK * BLOCK rows, and a pair's rows are made from its arrays, node by node.
     """
-    left = labels.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i"))))
-    right = labels.select("t", F.col("i").alias("j"), F.col("label").alias("other"))
-    return left.join(right, ["t", "j"]).select("t", "i", "j", F.when(F.col("label") == F.col("other"), p).otherwise(q).alias("prob"))
+    parts = max(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * labels.sparkSession.sparkContext.defaultParallelism)
+    blocks = labels.groupBy("t", F.floor(F.col("i") / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", "label"))).alias("x"))
+    left, right = blocks.select("t", F.col("b").alias("__a"), F.col("x.label").alias("__x")), blocks.select("t", "b", F.col("x.label").alias("__y"))
+    pairs = left.join(right, "t").where("b <= __a").repartition(parts, "t", "__a", "b")
+    rows = pairs.select("t", "__a", "b", F.posexplode("__x").alias("__k", "label"), "__y").select("t", (F.col("__a") * BLOCK + F.col("__k")).alias("i"), "label", (F.col("b") * BLOCK).alias("__from"), F.when(F.col("__a") == F.col("b"), F.slice("__y", 1, F.col("__k") + 1)).otherwise(F.col("__y")).alias("__y"))
+    every = rows.select("t", "i", "__from", "label", F.posexplode("__y").alias("__j", "__other"))
+    return every.select("t", "i", (F.col("__from") + F.col("__j")).alias("j"), F.when(F.col("label") == F.col("__other"), p).otherwise(q).alias("prob"))
 
 
 def sampled(prob: DataFrame, seed: int) -> DataFrame:
