@@ -97,3 +97,18 @@ def test_communities_are_recovered(spark):
     score = metrics.nmi(metrics.contingency(found.join(labels, ["t", "i"]), ["t"]), ["t"]).agg(F.min("nmi")).first()[0]
     assert score > 0.95
     assert random_edges(1)
+
+
+def test_probabilities_are_made_after_the_last_shuffle(spark):
+    """Three blocks of labels: every pair once, and nothing but pairs of blocks is joined or shuffled."""
+    n = 2 * sbm.BLOCK + 70
+    labels = sbm.relabelled(sbm.static_labels(spark, n, [0.5, 0.5], 3), [{}, {1: 0}])
+    prob = sbm.probabilities(labels, 0.5, 0.2)
+    plan = prob._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("posexplode") < plan.index("Exchange") and plan.rindex("posexplode") < plan.index("Join")
+    kind = {(r["t"], r["i"]): r["label"] for r in labels.collect()}
+    found = prob.toPandas()
+    assert len(found) == 2 * n * (n + 1) // 2 and not found.duplicated(["t", "i", "j"]).any()
+    assert (found["j"] <= found["i"]).all() and found["j"].min() == 0 and found["i"].max() == n - 1
+    few = found.sample(5000, random_state=1)
+    assert all(p == (0.5 if kind[t, i] == kind[t, j] else 0.2) for t, i, j, p in zip(few["t"], few["i"], few["j"], few["prob"], strict=True))
