@@ -1,0 +1,61 @@
+import numpy as np
+import pytest
+
+from graphs import frame
+from tempograph.operators import spectral, tiles
+
+
+def sparse(spark, x):
+    i, j = np.nonzero(x)
+    return frame(spark, "i long, j long, val double", i=i, j=j, val=x[i, j])
+
+
+def cells(df, rows="i", inner="j"):
+    return df.selectExpr(f"{rows} as x", f"{inner} as k", "val as v")
+
+
+@pytest.mark.parametrize("share", [0.9, 0.08])
+def test_products_by_tiles(spark, monkeypatch, share):
+    """Many blocks, dense and expanded products: the numbers of numpy, a row wherever products meet, also if they cancel out."""
+    monkeypatch.setattr(tiles, "BAND", 8)
+    monkeypatch.setattr(tiles, "INNER", 16)
+    monkeypatch.setattr(tiles, "EXPANDED", 7)
+    draw = np.random.default_rng(2)
+    x, y = (draw.integers(-2, 3, (60, 60)) * (draw.random((60, 60)) < share) for _ in range(2))
+    x[:3], x[0, :2], x[1, :2] = 0, (1, 1), (1, -1)
+    x, y = x.astype(float), y.astype(float)
+    asked = []
+    monkeypatch.setattr(tiles, "tiles", lambda c, rows, own=tiles.tiles: asked.append(rows) or own(c, rows))
+    a, b = sparse(spark, x), sparse(spark, y)
+    whole = tiles.product(cells(a), cells(b, "j", "i")).toPandas()
+    gram = tiles.product(cells(a)).toPandas()
+    for found, expected, met in ((whole, x @ y, (x != 0).astype(int) @ (y != 0) > 0), (gram, np.triu(x @ x.T), np.triu((x != 0).astype(int) @ (x != 0).T > 0))):
+        assert len(found) == met.sum() and not found.duplicated(["i", "j"]).any()
+        np.testing.assert_allclose(found["val"], expected[found["i"], found["j"]], atol=1e-12)
+    assert bool(asked) == (share == 0.9)
+
+
+def test_gram_of_a_hub_shuffles_cells_not_pairs(spark):
+    """2,000 nodes share three columns: two million pairs, none of them in a shuffle; before, all pairs of each column were."""
+    a = spark.range(2000).selectExpr("id as i", "explode(array(2000, 2001, 2002)) as j", "0L as t", "1.0D as val")
+    found = spectral.gram(a)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    assert found.where("val <> 3").isEmpty() and found.count() == 2000 * 2001 // 2
+
+
+def test_few_products_are_expanded(monkeypatch):
+    """A hundred rows with a cell or two in each of 64 columns: expanded a few products at once, as the dense product has them."""
+    draw = np.random.default_rng(3)
+    monkeypatch.setattr(tiles, "EXPANDED", 7)
+    x, y = np.zeros((100, 64)), np.zeros((90, 64))
+    for m in (x, y):
+        for k in range(64):
+            m[draw.integers(0, len(m), 2), k] = draw.integers(1, 5, 2)
+    calls = []
+    monkeypatch.setattr(tiles, "expanded", lambda *a, own=tiles.expanded: calls.append(1) or own(*a))
+    total, met = np.zeros((100, 90)), np.zeros((100, 90), bool)
+    side = lambda m: (np.nonzero(m.T)[0], np.nonzero(m.T)[1], m.T[np.nonzero(m.T)])
+    tiles.multiplied(side(x), side(y), total, met)
+    np.testing.assert_allclose(total, x @ y.T)
+    assert calls and (met == (x @ y.T > 0)).all()
