@@ -155,3 +155,21 @@ def test_a_snapshot_that_is_too_large_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(eigen, "ENTRIES", 3)
     with pytest.raises(ValueError, match="entries"):
         spectral.omni(g.adjacency, g.rows, g.n, 2)
+
+
+def test_iterations_send_vectors_to_packed_cells(spark, monkeypatch):
+    """Beyond DENSE nodes and up to LOCAL no round joins relations (before, each did); beyond LOCAL the vectors are the same."""
+    edges = random_edges(7, n=20, length=3)
+    g, a = Graph(relation(spark, edges)), snapshots(edges)
+    monkeypatch.setattr(spectral, "DENSE", 2)
+    found = lambda: embedding(spectral.uase(g.adjacency, g.nodes, g.rows, g.n, 1), (3, 20, 1))
+    with monkeypatch.context() as patch:
+        patch.setattr(spectral, "Relations", None)
+        local = found()
+        cells = g.n1()
+        x = np.random.default_rng(1).standard_normal((20, 3))
+        l = laplacians(a)  # noqa: E741
+        np.testing.assert_allclose(spectral.gram_product(spectral.pieces(cells, 50), 20)(x), sum(s @ (s.T @ x) for s in l), atol=1e-10)
+    assert_same_up_to_signs(local, by_svd(a, 1, "uase"))
+    monkeypatch.setattr(spectral, "LOCAL", 0)
+    assert_same_up_to_signs(found(), local)
