@@ -7,15 +7,19 @@ joins and running sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import inverse_root
 from . import matrices
-from .eigen import Arrays, Relations, dot, few_pairs, greatest, signed, snapshots_fit, sparse_product
+from .components import NODES, components, contrasts, fit, named
+from .eigen import Arrays, Relations, dot, greatest, signed, smallest_pairs, snapshots_fit, sparse_product
 from .order import ranged, running
 from .shared import written
 from .spectral import canonical
@@ -58,6 +62,39 @@ def steps(scores: DataFrame, every: int = 1) -> DataFrame:
     return found.where((F.col("r") - 1) % every == 0).withColumn("r", F.floor((F.col("r") - 1) / every) + 1) if every > 1 else found
 
 
+#: Up to so many pairs (t, i) their ranks go to the adjacency as one array; beyond, its rows are shuffled to them.
+RANKS = 4_000_000
+
+
+def edge_changes(order: DataFrame, adj: DataFrame, n: int, length: int) -> DataFrame:
+    """(t, i, edges): what each ranked pair adds to the cut: its edges but for those to smaller ranks, less those."""
+    if n * length > RANKS:
+        other = order.select(F.col("t"), F.col("i").alias("j"), F.col("r").alias("s"))
+        edges = adj.where("i <> j").join(order, ["t", "i"]).join(other, ["t", "j"], "left")
+        return edges.groupBy("t", "i").agg(F.sum(F.col("w") * F.when(F.col("s") < F.col("r"), -1).otherwise(1)).alias("edges"))
+    ranked, none = order.select("t", "i", "r").toArrow(), np.iinfo("int64").max
+    ranks = np.full(n * length, none)
+    ranks[np.asarray(ranked["t"]) * n + np.asarray(ranked["i"])] = np.asarray(ranked["r"])
+    context = adj.sparkSession.sparkContext
+    shared = context.broadcast(ranks)
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value
+        total = np.zeros(len(ranks))
+        for batch in batches:
+            t, i, j, w = (np.asarray(batch[c]) for c in "tijw")
+            own = t * n + i
+            a, b = ranks[own], ranks[t * n + j]
+            np.add.at(total, own, np.where(a == none, 0.0, np.where(b < a, -w, w)))
+        t, i = np.divmod(np.flatnonzero(total), n)
+        for at in range(0, len(t), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(t[cut]), pa.array(i[cut]), pa.array(total[t[cut] * n + i[cut]])], ["t", "i", "edges"])
+
+    rows = adj.where("i <> j").select("t", "i", "j", "w").coalesce(max(1, context.defaultParallelism))
+    return rows.mapInArrow(changes, "t long, i long, edges double").groupBy("t", "i").agg(F.sum("edges").alias("edges"))
+
+
 def sweep(scores: DataFrame, adj: DataFrame, n: int, last: int, cost: float = 1.0, normalized: bool = False, every: int = 1) -> DataFrame:
     """(t, i, r, edges, swaps, balance): for each prefix of the order, the cut edges, the swaps, and the denominator.
 
@@ -65,9 +102,7 @@ def sweep(scores: DataFrame, adj: DataFrame, n: int, last: int, cost: float = 1.
     volume * (total - volume). Self-loops are never cut. every: only each such pair enters (see steps).
     """
     order = written(steps(scores, every), "order")
-    other = order.select(F.col("t"), F.col("i").alias("j"), F.col("r").alias("s"))
-    edges = adj.where("i <> j").join(order, ["t", "i"]).join(other, ["t", "j"], "left")
-    edges = edges.groupBy("t", "i").agg(F.sum(F.col("w") * F.when(F.col("s") < F.col("r"), -1).otherwise(1)).alias("edges"))
+    edges = edge_changes(order, adj, n, last + 1)
     beside = Window.partitionBy("i").orderBy("t")
     sign = lambda at, step: F.when((F.lag("t", step).over(beside) == at) & (F.lag("r", step).over(beside) < F.col("r")), -cost).otherwise(cost)
     links = F.when(F.col("t") > 0, sign(F.col("t") - 1, 1)).otherwise(0.0) + F.when(F.col("t") < last, sign(F.col("t") + 1, -1)).otherwise(0.0)
@@ -101,20 +136,19 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
     """(t, i, ev): each snapshot's smallest eigenpairs, joined over time by one small problem for each pair's number.
 
     Link terms join equal numbers only, so that the whole problem falls into one tridiagonal problem of T x T for
-    each number k >= 1; the one with the greatest eigenvalue gives the weights. A snapshot's entries, not its n * n
-    cells, are in one task; their number is checked.
+    each number k >= 1; the one with the greatest eigenvalue gives the weights. Pair 0 is the constant vector. A snapshot's
+    entries, not its n * n cells, are in one task, which solves its components one by one; their number is checked.
     """
     r, c = min(rank, n - 1), 3.0 * (n + 2.0 * beta) * n
-    deg = matrices.degree(adj, rows)
-    cells = matrices.laplacian_n1(adj, deg) if normalized else matrices.laplacian(adj, deg)
 
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        values, vectors = few_pairs(part, n, r, smallest=True)
-        u = canonical(vectors)
-        return pd.DataFrame({"t": part["t"].iloc[0], "k": np.arange(r), "lam": values, "u": [v.tobytes() for v in u.T]})
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j, w = (np.concatenate(x) for x in zip(*([np.asarray(b[c]) for c in "ijw"] for b in batches), strict=True))
+        values, vectors = smallest_pairs(i, j, w, n, r, normalized)
+        for k, u in enumerate(canonical(vectors).T):
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([k]), pa.array([float(values[k])]), pa.array([u.tobytes()], pa.binary())], ["t", "k", "lam", "u"])
 
-    cells = snapshots_fit(written(cells, "cells"))
-    found = written(cells.groupBy("t").applyInPandas(pairs, "t long, k long, lam double, u binary"), "eigenpairs")
+    cells = snapshots_fit(adj).select("t", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "w")
+    found = written(cells.groupBy("t").applyInArrow(pairs, "t long, k long, lam double, u binary"), "eigenpairs")
 
     def small(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
@@ -127,8 +161,8 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
         return pd.DataFrame({"t": part["t"], "k": part["k"], "value": values[-1], "weight": canonical(vectors[:, -1:])[:, 0]})
 
     weights = written(found.select("t", "k", "lam").groupBy("k").applyInPandas(small, "t long, k long, value double, weight double"), "weights")
-    top = weights.groupBy("k").agg(F.max("value").alias("value")).orderBy(F.desc(F.round("value", 9)), "k").limit(1).select("k")
-    chosen = found.join(weights.join(F.broadcast(top), "k"), ["t", "k"])
+    top = weights.groupBy("k").agg(F.max("value").alias("value")).orderBy(F.desc(F.round("value", 9)), "k").first()["k"]
+    chosen = found.where(F.col("k") == top).join(F.broadcast(weights.where(F.col("k") == top).select("t", "weight")), "t")  # one row a time
 
     def spread(parts):
         for part in parts:
@@ -138,11 +172,97 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
     return chosen.select("t", "u", "weight").mapInPandas(spread, "t long, i long, ev double")
 
 
+def by_components(method: str, adj: DataFrame, rows: DataFrame, n: int, length: int, cost: float, dims: int, local: int) -> DataFrame | None:
+    """vector() of a graph of several components over all times, not normalized; None for one, or where one is too large for a task.
+
+    L has no entries between components, and takes f(t) a(component) to its path of times alone. The complement of f(t) is where
+    C is n, and L's own: diff's greatest pairs are L's smallest there, prod's are L's greatest. A vector that differs between
+    components and not in time is of L's smallest value, 0; so it is laplacian's second and diff's first. For prod each component's
+    greatest pairs are iterated in a task, and meet those of vectors that differ between components and alternate in time.
+    """
+    spark = adj.sparkSession
+    names = components(adj, n)
+    number = len(np.unique(names))
+    if number < 2 or method != "prod" and number <= dims:
+        return None
+    flat = contrasts(np.ones(n), names, dims + 1)[:, 1:]
+    line = np.linalg.eigh(np.diag(np.r_[1.0, [2.0] * (length - 2), 1.0] if length > 1 else [0.0]) - np.eye(length, k=1) - np.eye(length, k=-1))
+    if method != "prod":
+        found = [(flat[:, k], np.full(length, length**-0.5)) for k in range(dims)]
+        return spread_out(spark, rows, found, dims)
+    if not fit(adj, local // 40 // length, local, names):
+        return None
+    shared = spark.sparkContext.broadcast(names)
+
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.flatnonzero(shared.value == key[0].as_py())
+        m = len(own)
+        t, i, j, w = (np.concatenate(x) for x in zip(*([np.asarray(b[c]) for c in "tijw"] for b in batches), strict=True))
+        if m < 2:
+            return
+        i, j = (t.astype("int64") * m + np.searchsorted(own, x) for x in (i, j))
+        diagonal = np.bincount(i, w, m * length)
+        minus = sparse_product(pd.DataFrame({"row": i, "col": j, "val": -w}), m * length)
+        bound = 2 * float(diagonal.max()) + 4 * cost
+        diagonal = diagonal.reshape(length, m, 1)
+
+        def beside(y: np.ndarray) -> np.ndarray:
+            return y - y.mean(1, keepdims=True)
+
+        def apply(x: np.ndarray) -> np.ndarray:
+            y = beside(x.reshape(length, m, -1))
+            out = diagonal * y + minus(y.reshape(x.shape)).reshape(y.shape)
+            step = cost * (y[1:] - y[:-1])
+            out[1:] += step
+            out[:-1] -= step
+            return beside(out).reshape(x.shape)
+
+        space = (m - 1) * length
+        width = min(max(8, dims + 4), space)
+        start = beside(np.random.default_rng(3).standard_normal((length, m, width))).reshape(-1, width)
+        values, vectors = greatest(Arrays(apply, start), width, min(dims, space), space, 2000, scale=bound)
+        for k in range(min(dims, len(values))):
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([k]), pa.array([float(values[k])]), pa.array([vectors[:, k].tobytes()], pa.binary())], ["c", "k", "value", "u"])
+
+    cells = named(adj, names).select("c", *[F.col(x).cast("int").alias(x) for x in "tij"], "w")
+    found = written(cells.groupBy("c").applyInArrow(pairs, "c long, k long, value double, u binary"), "eigenpairs")
+    between = [(cost * float(line[0][f]), -1, f, k) for f in range(length) for k in range(flat.shape[1])]
+    every = sorted([(r["value"], r["c"], r["k"], 0) for r in found.select("c", "k", "value").collect()] + between, key=lambda p: (-round(p[0], 9), p[1:]))[:dims]
+    made = []
+    for _, c, a, k in every:
+        if c < 0:
+            made.append((flat[:, k], line[1][:, a]))
+            continue
+        own = np.flatnonzero(names == c)
+        u = np.frombuffer(found.where((F.col("c") == c) & (F.col("k") == a)).first()["u"]).reshape(length, -1)
+        made.append((own, u))
+    return spread_out(spark, rows, made, dims)
+
+
+def spread_out(spark: SparkSession, rows: DataFrame, found: list[tuple[np.ndarray, np.ndarray]], dims: int) -> DataFrame:
+    """(t, i, ev) or (t, i, ev, dim) of vectors: (x of all nodes, f of all times) for f(t) x(i), or (nodes, u(t, node)) and 0 elsewhere."""
+    out = None
+    for k, (x, f) in enumerate(found):
+        if f.ndim == 1:
+            whole = np.outer(f, x).reshape(-1)
+            sign = -1.0 if whole[np.argmax(np.round(np.abs(whole), 12))] < 0 else 1.0
+            i = spark.createDataFrame(pa.table({"i": np.arange(len(x)), "x": x * sign}))
+            t = spark.createDataFrame(pa.table({"t": np.arange(len(f)), "f": f}))
+            part = rows.join(i, "i").join(F.broadcast(t), "t").select("t", "i", (F.col("x") * F.col("f")).alias("ev"))
+        else:
+            u = canonical(f.reshape(-1, 1))[:, 0]
+            made = spark.createDataFrame(pa.table({"t": np.repeat(np.arange(len(f)), len(x)), "i": np.tile(x, len(f)), "x": u}))
+            part = rows.join(made, ["t", "i"], "left").select("t", "i", F.coalesce("x", F.lit(0.0)).alias("ev"))
+        part = part.withColumn("dim", F.lit(k).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out.drop("dim") if dims == 1 else out
+
+
 def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: int, length: int, beta: float = 1.0, cost: float = 1.0, normalized: bool = False, dense: int = 4096, dims: int = 1, local: int = 4_000_000) -> DataFrame:
     """(t, i, ev) or, with dims > 1, (t, i, ev, dim): the vector that a method sweeps.
 
     diff: top of 3(n + 2 beta) C - L; laplacian: second-smallest of L; prod: top of C L C; fast: see fast_vector.
-    C is the complete graph's Laplacian at each t. Up to `dense` rows of L the problem is solved on the driver
+    C is the complete graph's Laplacian at each t. A graph of several components is solved by them (see by_components). Up to `dense` rows of L the problem is solved on the driver
     (dense * dense numbers at most); beyond, it is iterated to a tolerance (see eigen.greatest), on the driver where L
     has no more than `local` entries and local / 40 rows, over relations otherwise.
     """
@@ -165,13 +285,17 @@ def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: in
         out = pd.concat([pd.DataFrame({"t": t, "i": i, "ev": found[:, k], "dim": k}) for k in range(dims)])
         made = rows.sparkSession.createDataFrame(out, "t long, i long, ev double, dim long")
         return made.drop("dim") if dims == 1 else made
+    if not normalized and n <= NODES:
+        found = by_components(method, adj, rows, n, length, cost, dims, local)
+        if found is not None:
+            return found
     cells = written(cells, "supra")
     size, skip = n * length, 1 if method == "laplacian" else 0
     width, wanted = max(8, skip + dims + 4), skip + dims
     bound = cells.groupBy("row").agg(F.sum(F.abs("val")).alias("s")).agg(F.max("s")).first()[0]
     scale = bound * n * n if method == "prod" else bound
     if size <= local // 40 and cells.count() <= local:
-        times_l = sparse_product(cells.toPandas(), size)
+        times_l = sparse_product(cells.toArrow().to_pandas(), size)
 
         def complete(x: np.ndarray) -> np.ndarray:
             y = x.reshape(length, n, -1)

@@ -135,3 +135,30 @@ def test_widened(spark, case):
     g, _, _ = case
     found = cuts.widened(g.degree.withColumnRenamed("deg", "ev"), 3).collect()
     assert all(len(r["emb"]) == 3 for r in found)
+
+
+def apart(seed):
+    """Edges of three components, one of them a pair, and of nodes that some times lack."""
+    edges = random_edges(seed, n=6, length=3)
+    return edges + [(i + 10, j + 10, t) for i, j, t in random_edges(seed + 1, n=5, length=3)] + [(20, 21, 1.0)]
+
+
+@pytest.mark.parametrize("method", ["diff", "laplacian", "prod"])
+@pytest.mark.parametrize("dims", [1, 2])
+def test_vectors_of_components(spark, method, dims, monkeypatch):
+    """Beyond the dense size a graph of several components is solved by them, neither collected nor iterated as a whole."""
+    g, n, length = Graph(relation(spark, apart(3))), 13, 3
+    l, c = supra(snapshots(apart(3))), np.kron(np.eye(3), n * np.eye(n) - np.ones((n, n)))  # noqa: E741
+    m = {"diff": 3 * (n + 2.0) * c - l, "laplacian": -l, "prod": c @ l @ c}[method]
+    monkeypatch.setattr(cuts, "Relations", None)
+    monkeypatch.setattr(cuts, "supra_laplacian", lambda *a: g.adjacency)
+    found = cuts.vector(method, g.adjacency, g.rows, g.times, n, length, dense=1, dims=dims)
+    u = np.stack([dense(found.where(F.col("dim") == k) if dims > 1 else found, (length, n), ("t", "i"), "ev").reshape(-1) for k in range(dims)], 1)
+    assert found.count() == dims * n * length
+    np.testing.assert_allclose(u.T @ u, np.eye(dims), atol=1e-8)
+    skip = 1 if method == "laplacian" else 0
+    values = np.linalg.eigvalsh(m)[::-1][skip : skip + dims]
+    np.testing.assert_allclose(np.diag(u.T @ m @ u), values, atol=1e-6, rtol=1e-9)
+    np.testing.assert_allclose(m @ u, u * values, atol=1e-5)
+    if method == "laplacian":
+        np.testing.assert_allclose(u.sum(0), 0, atol=1e-9)
