@@ -162,3 +162,11 @@ def test_vectors_of_components(spark, method, dims, monkeypatch):
     np.testing.assert_allclose(m @ u, u * values, atol=1e-5)
     if method == "laplacian":
         np.testing.assert_allclose(u.sum(0), 0, atol=1e-9)
+
+
+def test_second_smallest_vector_tells_components_apart(spark):
+    """cut_laplacian's vector beyond the dense size: of value 0, equal at all times and on a component, orthogonal to the constant."""
+    g = Graph(relation(spark, apart(5)))
+    u = dense(cuts.vector("laplacian", g.adjacency, g.rows, g.times, 13, 3, dense=1, local=0), (3, 13), ("t", "i"), "ev")
+    assert (u == u[0]).all() and len(np.unique(u[0])) == 3
+    np.testing.assert_allclose([u.sum(), (u * u).sum(), np.ptp(u[0][:6]), np.ptp(u[0][6:11])], [0, 1, 0, 0], atol=1e-9)
