@@ -173,3 +173,20 @@ def test_iterations_send_vectors_to_packed_cells(spark, monkeypatch):
     assert_same_up_to_signs(local, by_svd(a, 1, "uase"))
     monkeypatch.setattr(spectral, "LOCAL", 0)
     assert_same_up_to_signs(found(), local)
+
+
+@pytest.mark.parametrize("name", ["ulse_n1"])
+def test_embeddings_by_components_are_those_of_the_whole(spark, monkeypatch, name):
+    """Beyond the dense size a graph of several components is solved by them, without iteration."""
+    edges = random_edges(11, n=8, length=3) + [(i + 20, j + 20, t) for i, j, t in random_edges(12, n=6, length=3)] + [(i + 40, j + 40, t) for i, j, t in random_edges(13, n=5, length=2)]
+    g = Graph(relation(spark, edges))
+
+    def found():
+        if name == "ulse_n1":
+            return embedding(spectral.ulse_n1(g.n1(), g.nodes, g.rows, g.n, 3, g.length, g.scaled_n1()), (g.length, g.n, 3))
+        return embedding(spectral.ulse_n2(g.n2(), g.nodes, g.rows, g.n, 3, g.scaled_n2(), g.length), (g.length, g.n, 3))
+
+    whole = found()
+    monkeypatch.setattr(spectral, "DENSE", 4)
+    monkeypatch.setattr(spectral, "subspace", None)
+    np.testing.assert_allclose(found(), whole, atol=1e-8)
