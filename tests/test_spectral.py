@@ -175,7 +175,7 @@ def test_iterations_send_vectors_to_packed_cells(spark, monkeypatch):
     assert_same_up_to_signs(found(), local)
 
 
-@pytest.mark.parametrize("name", ["ulse_n1"])
+@pytest.mark.parametrize("name", ["ulse_n1", "ulse_n2"])
 def test_embeddings_by_components_are_those_of_the_whole(spark, monkeypatch, name):
     """Beyond the dense size a graph of several components is solved by them, without iteration."""
     edges = random_edges(11, n=8, length=3) + [(i + 20, j + 20, t) for i, j, t in random_edges(12, n=6, length=3)] + [(i + 40, j + 40, t) for i, j, t in random_edges(13, n=5, length=2)]
