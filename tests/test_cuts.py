@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphs import dense, embedding, random_edges, relation, snapshots
-from tempograph.operators import cuts
+from tempograph.operators import cuts, eigen
 from tempograph.operators.spectral import canonical
 from tempograph.plans.graphs import Graph
 
@@ -170,3 +170,21 @@ def test_second_smallest_vector_tells_components_apart(spark):
     u = dense(cuts.vector("laplacian", g.adjacency, g.rows, g.times, 13, 3, dense=1, local=0), (3, 13), ("t", "i"), "ev")
     assert (u == u[0]).all() and len(np.unique(u[0])) == 3
     np.testing.assert_allclose([u.sum(), (u * u).sum(), np.ptp(u[0][:6]), np.ptp(u[0][6:11])], [0, 1, 0, 0], atol=1e-9)
+
+
+@pytest.mark.parametrize("normalized", [False, True])
+@pytest.mark.parametrize("wanted", [2, 9])
+@pytest.mark.parametrize("at_once", [1, 1024])
+def test_smallest_pairs_are_found_by_components(normalized, wanted, at_once, monkeypatch):
+    monkeypatch.setattr(eigen, "DENSE_SNAPSHOT", at_once)
+    a = snapshots([*apart(7), (5, 5, 0.0)])[0]
+    i, j = np.nonzero(a)
+    values, u = eigen.smallest_pairs(i, j, a[i, j], len(a), wanted, normalized)
+    deg = a.sum(1)
+    r = np.divide(1, np.sqrt(deg), out=np.zeros(len(a)), where=deg > 0)
+    l = np.eye(len(a)) - r[:, None] * a * r if normalized else np.diag(deg) - a  # noqa: E741
+    np.testing.assert_allclose(values, np.linalg.eigvalsh(l)[:wanted], atol=1e-8)
+    np.testing.assert_allclose(u.T @ u, np.eye(wanted), atol=1e-8)
+    np.testing.assert_allclose(l @ u, u * values, atol=1e-7)
+    first = np.sqrt(deg) if normalized else np.ones(len(a))
+    np.testing.assert_allclose(u[:, 0], first / np.linalg.norm(first), atol=1e-12)
