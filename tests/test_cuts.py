@@ -188,3 +188,13 @@ def test_smallest_pairs_are_found_by_components(normalized, wanted, at_once, mon
     np.testing.assert_allclose(l @ u, u * values, atol=1e-7)
     first = np.sqrt(deg) if normalized else np.ones(len(a))
     np.testing.assert_allclose(u[:, 0], first / np.linalg.norm(first), atol=1e-12)
+
+
+def test_greatest_vector_between_components(spark):
+    """cut_prod's vector where no component has a link of its own: it differs between components and alternates in time."""
+    edges = [(i, i, float(t)) for t in range(3) for i in range(3)]
+    g, c = Graph(relation(spark, edges)), np.kron(np.eye(3), 3 * np.eye(3) - np.ones((3, 3)))
+    u = dense(cuts.vector("prod", g.adjacency, g.rows, g.times, 3, 3, dense=1), (3, 3), ("t", "i"), "ev").reshape(-1)
+    m = c @ supra(np.zeros((3, 3, 3))) @ c
+    np.testing.assert_allclose(m @ u, u * np.linalg.eigvalsh(m)[-1], atol=1e-9)
+    assert u @ u == pytest.approx(1)
