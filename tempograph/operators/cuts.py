@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import inverse_root
 from . import matrices
 from .components import NODES, components, contrasts, fit, named
-from .eigen import Arrays, Relations, dot, greatest, signed, smallest_pairs, snapshots_fit, sparse_product
+from .eigen import Arrays, Relations, dot, few_pairs, greatest, signed, smallest_pairs, snapshots_fit, sparse_product
 from .order import ranged, running
 from .shared import written
 from .spectral import canonical
@@ -143,7 +143,7 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
 
     def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j, w = (np.concatenate(x) for x in zip(*([np.asarray(b[c]) for c in "ijw"] for b in batches), strict=True))
-        values, vectors = smallest_pairs(i, j, w, n, r, normalized)
+        values, vectors = smallest_pairs(i, j, w, n, r, normalized, few_pairs)
         for k, u in enumerate(canonical(vectors).T):
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([k]), pa.array([float(values[k])]), pa.array([u.tobytes()], pa.binary())], ["t", "k", "lam", "u"])
 
