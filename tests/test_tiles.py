@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphs import frame
@@ -59,3 +60,33 @@ def test_few_products_are_expanded(monkeypatch):
     tiles.multiplied(side(x), side(y), total, met)
     np.testing.assert_allclose(total, x @ y.T)
     assert calls and (met == (x @ y.T > 0)).all()
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_rows_of_a_product_come_few_columns_at_a_time(monkeypatch, upper):
+    """40 rows that all meet: every place once, row by row within 8 columns, so that j comes again within few bytes of a file; before, whole rows of the block were given out."""
+    monkeypatch.setattr(tiles, "BAND", 8)
+    x, v = np.arange(40, dtype="int32"), np.arange(1.0, 41)
+    tile = lambda right: pa.RecordBatch.from_pydict({"right": [right], "inner": [0], "k": [(x * 0).tobytes()], "x": [x.tobytes()], "v": [v.tobytes()]})
+    found = [b.to_pandas() for b in tiles.summed(40, upper)((pa.scalar(0), pa.scalar(0)), iter([tile(0), tile(1)]))]
+    assert all(b["j"].max() - b["j"].min() < 8 and b["i"].is_monotonic_increasing for b in found)
+    places = [(i, j) for b in found for i, j, val in b.itertuples(index=False) if val == (i + 1) * (j + 1)]
+    assert sorted(places) == [(i, j) for i in range(40) for j in range(40) if i <= j or not upper]
+
+
+def test_rounded_as_spark_does(spark):
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(size=5000) * 10.0 ** draw.integers(-9, 18, 5000), (draw.integers(-(10**6), 10**6, 5000) + 0.5) / 1e6, np.arange(50.0), [0.0, -0.0, 5e-7, -5e-7, 1e300, np.inf, -np.inf]])
+    found = frame(spark, "k long, x double", k=np.arange(len(x)), x=x).selectExpr("k", "round(x, 6) + 0.0D as y").toPandas().sort_values("k")["y"].to_numpy()
+    own = tiles.rounded(x, 6)
+    assert (found == own).all() and (np.signbit(found) == np.signbit(own)).all() and np.isnan(tiles.rounded(np.array([np.nan]), 6)).all()
+
+
+@pytest.mark.parametrize("share", [0.9, 0.08])
+def test_products_with_digits(spark, monkeypatch, share):
+    monkeypatch.setattr(tiles, "BAND", 8)
+    draw = np.random.default_rng(5)
+    a = sparse(spark, draw.normal(size=(60, 60)) * (draw.random((60, 60)) < share))
+    plain = tiles.product(cells(a)).selectExpr("i", "j", "round(val, 3) + 0.0D as val").toPandas().set_index(["i", "j"]).sort_index()
+    found = tiles.product(cells(a), digits=3).toPandas().set_index(["i", "j"]).sort_index()
+    assert plain.equals(found)
