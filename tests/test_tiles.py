@@ -90,3 +90,11 @@ def test_products_with_digits(spark, monkeypatch, share):
     plain = tiles.product(cells(a)).selectExpr("i", "j", "round(val, 3) + 0.0D as val").toPandas().set_index(["i", "j"]).sort_index()
     found = tiles.product(cells(a), digits=3).toPandas().set_index(["i", "j"]).sort_index()
     assert plain.equals(found)
+
+
+def test_a_gram_of_fractions_is_rounded_where_it_is_summed(spark):
+    """2,000 nodes share three columns of weights of a third: Spark has no row to round, as it had in gram_ulse_n1 before."""
+    a = spark.range(2000).selectExpr("id as i", "explode(array(2000, 2001, 2002)) as j", "0L as t", "1 / 3.0D as val")
+    found = spectral.gram(a, 6)
+    assert "round(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("val <> 0.333333D").isEmpty() and found.count() == 2000 * 2001 // 2
