@@ -7,6 +7,8 @@ position of a stretch of the stream at once, and finds each symbol and its lengt
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import struct
 
 import numpy as np
@@ -36,13 +38,18 @@ class WebPError(ValueError):
 # --- prefix codes
 
 
+#: Stretches of 16 bits whose lengths a code of lengths remembers.
+CHUNKS = 1 << 14
+
+
 class Code:
     """A canonical prefix code by its lengths; tables for as many bits as the longest code has."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) == 0:
             raise WebPError("a code without symbols")
+        self.most = int(used[-1])
         self.lengths, self.single = lengths, int(used[0]) if len(used) == 1 else None
         self.bits = 0 if self.single is not None else int(lengths.max())
         if self.single is not None:
@@ -59,6 +66,26 @@ class Code:
         """symbol << shift << 6 | length for each value of the next `bits` bits."""
         return (self.symbol << (shift + 6) | self.length).tolist()
 
+    @functools.cached_property
+    def chunks(self) -> dict[int, tuple[bytes, int, int]]:
+        return {}
+
+    def chunk(self, word: int) -> tuple[bytes, int, int]:
+        """Of a code of lengths: the lengths that 16 bits tell whatever comes before and after, those bits' number, and the last length above 0, or 0."""
+        out, at, last = b"", 0, 0
+        while at < 16 and self.bits:
+            k = word >> at & ((1 << self.bits) - 1)
+            symbol, end = int(self.symbol[k]), at + int(self.length[k])
+            extra = (2, 3, 7)[symbol - 16] if symbol > 15 else 0
+            if end + extra > 16 or (symbol == 16 and not last):
+                break
+            more = word >> end & ((1 << extra) - 1)
+            out += bytes([symbol]) if symbol < 16 else bytes([last]) * (3 + more) if symbol == 16 else bytes((3, 11)[symbol - 17] + more)
+            last, at = symbol if 0 < symbol < 16 else last, end + extra
+        if len(self.chunks) >= CHUNKS:
+            self.chunks.clear()
+        return self.chunks.setdefault(word, (out, at, last))
+
     @functools.cached_property
     def codes(self) -> np.ndarray:
         return codes_of(self.lengths)
@@ -74,7 +101,7 @@ def reversed_bits(n: int) -> np.ndarray:
 
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """The words of the canonical code with these lengths, their first bit lowest."""
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     order = used[np.argsort(lengths[used], kind="stable")]
     size = lengths[order].astype("int64")
     share = 1 << (int(size[-1]) - size)
@@ -90,25 +117,35 @@ def code_of(lengths: bytes) -> Code:
 
 def huffman(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of an optimal code, flattened until none exceeds `most`; ties go by symbol."""
-    used = np.flatnonzero(counts).tolist()
+    used = counts.nonzero()[0].tolist()
     lengths = np.zeros(len(counts), "uint8")
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    weights = counts[used].astype("int64").tolist()
+    weights, m, none = counts[used].astype("int64").tolist(), len(used), 1 << 62
     while True:
-        order = sorted(range(len(weights)), key=weights.__getitem__)
-        parent, heavy = [0] * (2 * len(used) - 1), [weights[k] for k in order]  # leaves by weight, then what they merge into, which grows too
-        leaf, inner, n = 0, len(used), len(used)
-        while n < len(parent):
-            total = 0
-            for _ in range(2):
-                if leaf < len(used) and (inner == n or heavy[leaf] <= heavy[inner]):
-                    parent[leaf], total, leaf = n, total + heavy[leaf], leaf + 1
-                else:
-                    parent[inner], total, inner = n, total + heavy[inner], inner + 1
-            heavy.append(total)
-            n += 1
+        order = sorted(range(m), key=weights.__getitem__)
+        leaves, nodes, parent = [*(weights[k] for k in order), none], [none] * m, [0] * (2 * m - 1)  # leaves by weight, and what they merge into
+        leaf = inner = 0
+        for n in range(m - 1):
+            if leaves[leaf] <= nodes[inner]:
+                total = leaves[leaf]
+                parent[leaf] = m + n
+                leaf += 1
+            else:
+                total = nodes[inner]
+                parent[m + inner] = m + n
+                inner += 1
+            if leaves[leaf] <= nodes[inner]:
+                total += leaves[leaf]
+                parent[leaf] = m + n
+                leaf += 1
+            else:
+                total += nodes[inner]
+                parent[m + inner] = m + n
+                inner += 1
+            nodes[n] = total
+        n = 2 * m - 1
         depth = [0] * n
         for k in range(n - 2, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -125,6 +162,15 @@ def huffman(counts: np.ndarray, most: int) -> np.ndarray:
 DESCRIBED: dict[int, list[tuple]] = {}
 
 
+@functools.lru_cache(maxsize=256)
+def sizes_of(n: int, bits: int) -> bytes:
+    """The lengths of a code-length code of which the first n are told, three bits each."""
+    sizes = bytearray(19)
+    for k, place in enumerate(LENGTH_ORDER[:n]):
+        sizes[place] = bits >> (3 * k) & 7
+    return bytes(sizes)
+
+
 class Bits:
     """Bits of bytes, the lowest of each byte first."""
 
@@ -179,19 +225,27 @@ class Bits:
                     raise WebPError("a symbol beyond the alphabet")
                 lengths[symbol] = 1
             return code_of(bytes(lengths))
-        sizes = np.zeros(19, "uint8")
-        for k in LENGTH_ORDER[: 4 + self.read(4)]:
-            sizes[k] = self.read(3)
-        inner = code_of(sizes.tobytes())
+        n = 4 + self.read(4)
+        inner = code_of(sizes_of(n, self.read(3 * min(n, 10)) | self.read(3 * max(n - 10, 0)) << 30))
         rest = 2 + self.read(2 + 2 * self.read(3)) if self.read(1) else size
         at, last = 0, 8
         symbols, widths, mask, data = inner.symbol.tolist(), inner.length.tolist(), (1 << inner.bits) - 1, self.data
-        here, word, known = self.at, 0, 0
+        here, word, known, chunks, free = self.at, 0, 0, inner.chunks, rest == size
         while at < size and rest:
-            rest -= 1
-            if known < 14:
+            if known < 18:
                 known = 2048 - (here & 7)
                 word = int.from_bytes(data[here >> 3 : (here >> 3) + 256], "little") >> (here & 7)
+            if free:
+                chunk = chunks.get(word & 0xFFFF) or inner.chunk(word & 0xFFFF)
+                if chunk[1] and (end := at + len(chunk[0])) <= size:
+                    lengths[at:end] = chunk[0]
+                    at = end
+                    last = chunk[2] or last
+                    word >>= chunk[1]
+                    here += chunk[1]
+                    known -= chunk[1]
+                    continue
+            rest -= 1
             symbol, width = symbols[word & mask], widths[word & mask]
             word >>= width
             if symbol < 16:
@@ -242,7 +296,7 @@ def picture(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     out, total, n = np.zeros(width * height, "uint32"), width * height, 0
     cache = Cache(cached) if cached else None
     if n_groups == 1:
-        return np.array(pixels_of(bits, groups[0], cache, total, width), "uint32").reshape(height, width)
+        return pixels_of(bits, groups[0], cache, total, width).reshape(height, width)
     while n < total:
         group = groups[int(which[n // width >> grain, n % width >> grain])]
         symbol = bits.symbol(group[0])
@@ -252,16 +306,19 @@ def picture(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             n += 1
         elif symbol < 280:
             length = bits.number(symbol - 256)
-            n = copied(out, n, length, bits.number(bits.symbol(group[4])), width)
+            n = copied(out, n, length, far_back(bits.number(bits.symbol(group[4])), width))
         else:
             out[n] = cache.colour(symbol - 280, out, n)
             n += 1
     return out.reshape(height, width)
 
 
-def copied(out: np.ndarray, n: int, length: int, code: int, width: int) -> int:
-    """Repeat pixels from a distance code back; the number of pixels then known."""
-    distance = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+def far_back(code: int, width: int) -> int:
+    return code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
+def copied(out: np.ndarray, n: int, length: int, distance: int) -> int:
+    """Repeat pixels from a distance back; the number of pixels then known."""
     if distance > n or n + length > len(out):
         raise WebPError("a reference out of the picture")
     done = 0
@@ -275,75 +332,130 @@ def copied(out: np.ndarray, n: int, length: int, code: int, width: int) -> int:
 #: Extra bits of length and distance prefixes, and the numbers that those bits are added to.
 EXTRA = np.array([max(0, (k - 2) >> 1) for k in range(40)])
 FIRST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+EIGHT = np.arange(8)
 PREFIX = list(zip(EXTRA.tolist(), FIRST.tolist(), strict=True))
 
 
-def pixels_of(bits: Bits, group: list[Code], cache: Cache | None, total: int, width: int) -> list[int]:
-    """All pixels of a picture with one group of codes. The next 16 bits at each bit of a stretch of the stream are made at once."""
-    green, red, blue, alpha, far = (c.table(k) for c, k in zip(group, (8, 16, 0, 24, 0), strict=True))
-    in_green, in_red, in_blue, in_alpha, in_far = ((1 << c.bits) - 1 for c in group)
-    if not any(c.bits for c in group[:4]) and group[0].single < 256:
-        return [group[3].single << 24 | group[1].single << 16 | group[0].single << 8 | group[2].single] * total
-    opaque, beyond = 0 if in_alpha else alpha[0], 256 << 14
-    held, shift = (cache.held, cache.shift) if cache else ([], 0)
-    out: list[int] = []
+def pixels_of(bits: Bits, group: list[Code], cache: Cache | None, total: int, width: int) -> np.ndarray:
+    """All pixels of a picture with one group of codes.
+
+    For each bit of a stretch of the stream it is found at once where a pixel that begins there would end; one walk over these ends gives
+    where pixels do begin, and their colours are read at once. References and the colour cache come last (see filled).
+    """
+    green, red, blue, alpha, far = group
+    in_green, in_red, in_blue, in_alpha = ((1 << c.bits) - 1 for c in group[:4])
+    if not any(c.bits for c in group[:4]) and green.single < 256:
+        return np.full(total, alpha.single << 24 | red.single << 16 | green.single << 8 | blue.single, "uint32")
+    by_green = green.symbol << 4 | green.length
+    in_far, by_far = (1 << far.bits) - 1, None
+    x, slot, references = np.zeros(total, "uint32"), np.full(total, -1, "int16"), []
     n = 0
     while n < total:
         base = bits.at & ~7
         raw = np.frombuffer(bits.data, "uint8", min(len(bits.data) - (base >> 3), STRETCH // 8 + 16), base >> 3)
         if not len(raw):
             raise WebPError("the stream ends early")
-        b = np.zeros(len(raw) + 19, "uint32")  # zeros beyond the end
+        b = np.zeros(len(raw) + 19, "int64")  # zeros beyond the end
         b[: len(raw)] = raw
         word = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
-        window, wide = memoryview((word[:, None] >> np.arange(8, dtype="uint32")).astype("uint16").reshape(-1)), memoryview(word)
+        window, wide = (word[:, None] >> EIGHT).reshape(-1), memoryview(word)  # 25 bits or more from each bit on
         p, began, last = bits.at - base, n, 8 * len(raw)
         limit = last - 64 if (base >> 3) + len(raw) < len(bits.data) else last + 1
+        told = by_green.take(window & in_green, mode="clip")
+        after = np.arange(len(window))
+        after += told & 15
+        ends, width_of = after, None
+        for code, mask in ((red, in_red), (blue, in_blue), (alpha, in_alpha)):
+            if code.bits:
+                if width_of is None or code is not known:
+                    width_of, known = code.length.astype("int64").take(window & mask, mode="clip"), code
+                ends = ends + width_of.take(ends, mode="clip")
+        if green.most > 255:
+            others = (told >= 256 << 4).nonzero()[0]
+            ends[others] = np.where(told[others] < 280 << 4, -1, after[others])
+        ends[limit:] = -1
+        begins: list[int] = []
+        place, add, steps = [], begins.append, memoryview(ends)
         while n < total and p < limit:
-            t = green[window[p] & in_green]
-            if t < beyond:  # symbols and lengths of all four add up
-                t += red[window[p + (t & 63)] & in_red]
-                t += blue[window[p + (t & 63)] & in_blue]
-                t += alpha[window[p + (t & 63)] & in_alpha] if in_alpha else opaque
-                p += t & 63
-                t >>= 6
-                out.append(t)
-                n += 1
-                if held:
-                    held[(t * HASH & 0xFFFFFFFF) >> shift] = t
-                continue
+            held = len(begins)
+            for _ in itertools.repeat(None, total - n):
+                q = steps[p]
+                if q < 0:
+                    break
+                add(p)
+                p = q
+            if len(begins) > held:
+                place.append((n, held, len(begins)))
+                n += len(begins) - held
+            if n == total or p >= limit:
+                break
+            if by_far is None:
+                by_far = far.table(0)
+            t = int(told[p])
+            p += t & 15
+            extra, first = PREFIX[(t >> 4) - 256]
+            length = first + (wide[p >> 3] >> (p & 7) & ((1 << extra) - 1))
+            p += extra
+            t = by_far[int(window[p]) & in_far]
             p += t & 63
-            t >>= 14
-            if t < 280:
-                extra, first = PREFIX[t - 256]
-                length = first + (wide[p >> 3] >> (p & 7) & ((1 << extra) - 1))
-                p += extra
-                t = far[window[p] & in_far]
-                p += t & 63
-                extra, first = PREFIX[t >> 6]
-                code = first + (wide[p >> 3] >> (p & 7) & ((1 << extra) - 1))
-                p += extra
-                distance = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
-                if distance > n or n + length > total:
-                    raise WebPError("a reference out of the picture")
-                if distance >= length:
-                    again = out[n - distance : n - distance + length]
-                else:
-                    again = (out[n - distance :] * (length // distance + 1))[:length]
-                out += again
-                n += length
-                if held:
-                    for t in again[-distance:]:
-                        held[(t * HASH & 0xFFFFFFFF) >> shift] = t
-            elif held:
-                out.append(held[t - 280])
-                n += 1
-            else:
-                raise WebPError("a symbol beyond the alphabet")
+            extra, first = PREFIX[t >> 6]
+            code = first + (wide[p >> 3] >> (p & 7) & ((1 << extra) - 1))
+            p += extra
+            distance = far_back(code, width)
+            if distance > n or n + length > total:
+                raise WebPError("a reference out of the picture")
+            references.append((n, length, distance))
+            n += length
         bits.at = base + p
         if bits.at > bits.end or n == began:
             raise WebPError("the stream ends early")
-    return out
+        at = np.array(begins, "int64")
+        symbol = told.take(at)
+        at += symbol & 15
+        symbol >>= 4
+        colour = symbol.astype("uint32") << 8
+        for code, mask, shift in ((red, in_red, 16), (blue, in_blue, 0), (alpha, in_alpha, 24)):
+            if code.bits:
+                k = window.take(at, mode="clip") & mask
+                colour |= code.symbol.take(k).astype("uint32") << shift
+                at += code.length.take(k)
+            else:
+                colour |= np.uint32(code.single << shift)
+        hit = symbol.astype("int16") - 280 if cache else None
+        for first, low, high in place:
+            x[first : first + high - low] = colour[low:high]
+            if cache:
+                slot[first : first + high - low] = hit[low:high]
+    return filled(x, slot, references, cache.shift if cache else 0)
+
+
+def filled(x: np.ndarray, slot: np.ndarray, references: list[tuple[int, int, int]], shift: int) -> np.ndarray:
+    """Pixels with what references (begin, length, distance) and the colour cache of 32 - shift bits stand for; slot: a pixel's
+    place in the cache where that is all that is known of it, else below 0. Without a cache (shift 0) slots are not read."""
+    if not shift:
+        for n, length, distance in references:
+            copied(x, n, length, distance)
+        return x
+    hits = slot >= 0
+    if not hits.any():
+        return filled(x, slot, references, 0)
+    known = np.where(hits, slot, ((x * np.uint32(HASH)) >> np.uint32(shift)).astype("int16"))
+    source = np.arange(len(x) + 1)
+    for n, length, distance in references:
+        copied(known, n, length, distance)
+        hits[n : n + length] = False
+        if distance >= length:
+            source[n : n + length] -= distance
+        else:
+            source[n : n + length] = np.arange(length) % distance + (n - distance)
+    order = np.argsort(known, kind="stable")  # a cached pixel is the last one before it of its place that is not cached itself
+    place, own = known[order], ~hits[order]
+    latest = np.maximum.accumulate(np.where(own, np.arange(len(x)), -1))
+    found = np.where((latest >= 0) & (place[latest] == place), order[latest], len(x))  # beyond the end: nothing yet, black and transparent
+    source[order] = np.where(own, source[order], found)
+    while not ((further := source[source]) == source).all():
+        source = further
+    return np.append(x, np.uint32(0))[source[:-1]]
 
 
 # --- transforms
@@ -508,25 +620,28 @@ class Writer:
             for symbol in used:
                 self.put(symbol, 8)
             return
-        runs = list(run_lengths(lengths))
-        sizes = huffman(np.bincount([r[0] for r in runs], minlength=19), 7) if by is None else by
+        runs = runs_of(lengths)
+        sizes = huffman(np.bincount([r[0] for run in runs for r in run_lengths(*run)], minlength=19), 7) if by is None else by
         if np.count_nonzero(sizes) == 1:  # a lone symbol has no bits of its own; a second makes the code full
             sizes[17 if sizes[17] == 0 else 18] = 1
-        stored = [int(sizes[k]) for k in LENGTH_ORDER]
-        while len(stored) > 4 and not stored[-1]:
-            stored.pop()
-        self.put(0, 1)
-        self.put(len(stored) - 4, 4)
-        for n in stored:
-            self.put(n, 3)
-        self.put(0, 1)
-        words, widths, value, size = words_of(sizes.tobytes()), sizes.tolist(), 0, 0
-        for symbol, extra, width in runs:
-            value |= (words[symbol] | extra << widths[symbol]) << size
-            size += widths[symbol] + width
+        key = sizes.tobytes()
+        value, size = sizes_told(key)
+        for x, n, again in runs:
+            word, width = run_word(key, x, n, again)
+            value |= word << size
+            size += width
         self.put(value, size)
 
 
+@functools.lru_cache(maxsize=16)
+def sizes_told(sizes: bytes) -> tuple[int, int]:
+    """What comes before a description: the code-length code, as a number and its bits."""
+    stored = [sizes[k] for k in LENGTH_ORDER]
+    while len(stored) > 4 and not stored[-1]:
+        stored.pop()
+    return sum(n << (5 + 3 * k) for k, n in enumerate(stored)) | (len(stored) - 4) << 1, 6 + 3 * len(stored)
+
+
 @functools.lru_cache(maxsize=16)
 def words_of(lengths: bytes) -> list[int]:
     return codes_of(np.frombuffer(lengths, "uint8")).tolist()
@@ -540,27 +655,44 @@ def description(lengths: bytes) -> tuple[int, int]:
     return out.value, out.size
 
 
-def run_lengths(lengths: np.ndarray):
-    """(symbol, extra, bits of extra) of the code-length code; repeats of zeros and of the last length are short."""
-    begins, last = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1, 8
+def runs_of(lengths: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(length, times, whether it is the last one above 0, or the 8 that all begin with)."""
+    begins, last, out = (lengths[1:] != lengths[:-1]).nonzero()[0] + 1, 8, []
     begins = [0, *begins.tolist(), len(lengths)]
     for x, n in zip(lengths[begins[:-1]].tolist(), map(int.__sub__, begins[1:], begins), strict=False):
-        if x:
-            if x != last:
-                yield x, 0, 0
-                n, last = n - 1, x
-            while n >= 3:
-                yield 16, min(n, 6) - 3, 2
-                n -= min(n, 6)
-        else:
-            while n >= 11:
-                yield 18, min(n, 138) - 11, 7
-                n -= min(n, 138)
-            if n >= 3:
-                yield 17, n - 3, 3
-                n = 0
-        for _ in range(n):
+        out.append((x, n, x == last))
+        last = x or last
+    return out
+
+
+def run_lengths(x: int, n: int, again: bool):
+    """(symbol, extra, bits of extra) of the code-length code; repeats of zeros and of the last length are short."""
+    if x:
+        if not again:
             yield x, 0, 0
+            n -= 1
+        while n >= 3:
+            yield 16, min(n, 6) - 3, 2
+            n -= min(n, 6)
+    else:
+        while n >= 11:
+            yield 18, min(n, 138) - 11, 7
+            n -= min(n, 138)
+        if n >= 3:
+            yield 17, n - 3, 3
+            n = 0
+    for _ in range(n):
+        yield x, 0, 0
+
+
+@functools.lru_cache(maxsize=1 << 12)
+def run_word(sizes: bytes, x: int, n: int, again: bool) -> tuple[int, int]:
+    """A run in the code of these sizes, as a number and its bits."""
+    words, value, size = words_of(sizes), 0, 0
+    for symbol, extra, width in run_lengths(x, n, again):
+        value |= (words[symbol] | extra << sizes[symbol]) << size
+        size += sizes[symbol] + width
+    return value, size
 
 
 def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -569,8 +701,8 @@ def packed(head: Writer, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     starts = ends - lengths
     word, off = starts >> 6, (starts & 63).astype("uint64")
     words = np.zeros(int(ends[-1] + 63 >> 6) + 1 if len(ends) else 1, "uint64")
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    if len(first):
+    if len(word):
+        first = np.append(0, (word[1:] != word[:-1]).nonzero()[0] + 1)
         words[word[first]] = np.add.reduceat(codes << off, first)
         over = np.where(off + lengths.astype("uint64") > 64, codes >> ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
         words[word[first] + 1] |= np.add.reduceat(over, first)
@@ -591,6 +723,8 @@ def prefix(x: int) -> tuple[int, int, int]:
 def tokens(x: np.ndarray, width: int, cached: int, references: bool) -> list[tuple]:
     """Literals ("p", colour), references ("r", length, distance code) and cached colours ("c", index); greedy."""
     pixels, out, seen, n = x.reshape(-1).tolist(), [], {}, 0
+    if not (cached or references):
+        return [("p", p) for p in pixels]
     held = [0] * (1 << cached)
     near = {}
     for k, (a, b) in enumerate(NEAR):
@@ -656,13 +790,19 @@ def put_picture(out: Writer, x: np.ndarray, main: bool, cached: int = 0, referen
                 c[0] = 1
             lengths = huffman(c, 15)
             out.code(lengths)
-            codes[-1].append(code_of(lengths.tobytes()))
+            code = code_of(lengths.tobytes())
+            codes[-1].append((code.codes.tolist(), code.lengths.tolist()) if code.bits else None)
+    end = Writer()
     for g, symbols in plan:
         for k, symbol, extra, width_ in symbols:
-            code = codes[g][k]
-            if code.bits:
-                out.put(int(code.codes[symbol]), int(code.lengths[symbol]))
-            out.put(extra, width_)
+            if code := codes[g][k]:
+                end.put(code[0][symbol], code[1][symbol])
+            if width_:
+                end.put(extra, width_)
+        if end.size > 512:  # short numbers are quicker
+            out.put(end.value, end.size)
+            end = Writer()
+    out.put(end.value, end.size)
 
 
 def framed(body: bytes) -> bytes:
@@ -783,10 +923,10 @@ SURPRISE = np.arange(1 << 15) * np.log2(np.maximum(np.arange(1 << 15), 1))
 
 def bits_of(symbols: np.ndarray) -> float:
     """The entropy of all symbols together, and five bits for the description of each distinct one."""
-    counts = np.bincount(symbols)
-    some = counts[counts >= 1 << 15]
-    low = SURPRISE.take(counts, mode="clip").sum() if not len(some) else SURPRISE[counts[counts < 1 << 15]].sum() + (some * np.log2(some)).sum()
-    return float(len(symbols) * np.log2(max(1, len(symbols))) - low) + 5 * int(np.count_nonzero(counts))
+    counts, n = np.bincount(symbols), len(symbols)
+    some = counts[counts >= 1 << 15] if n >= 1 << 15 else ()
+    low = np.add.reduce(SURPRISE.take(counts, mode="clip")) if not len(some) else SURPRISE[counts[counts < 1 << 15]].sum() + (some * np.log2(some)).sum()
+    return float(n * math.log2(max(1, n)) - low) + 5 * int(np.count_nonzero(counts))
 
 
 def repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -796,14 +936,17 @@ def repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none
     wide = x.astype("uint64") & np.uint64(0xFFFFFF)
     key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    low = np.uint64(len(key).bit_length())  # places below, so that plain sorting keeps their order
+    key = np.sort(key >> low << low | np.arange(len(key), dtype="uint64"))
+    order = (key & ((np.uint64(1) << low) - np.uint64(1))).astype("int64")
+    key >>= low
+    same = (key[1:] == key[:-1]).nonzero()[0]
     if not len(same):
         return none
     before = np.full(len(key), -1, "int64")
     before[order[same + 1]] = order[same]
     at, out, size = 0, [], len(x)
-    for n, k in zip((spots := np.flatnonzero(before >= 0)).tolist(), before[spots].tolist(), strict=True):
+    for n, k in zip((spots := (before >= 0).nonzero()[0]).tolist(), before[spots].tolist(), strict=True):
         if n < at:
             continue
         length = 0
@@ -831,9 +974,9 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
     """A main picture with references, and with a colour cache if that makes it smaller; one group of codes, one alpha. Ends the file's body."""
     begin, length, back = repeats(x)
     covered = np.zeros(len(x) + 1, "int64")
-    np.add.at(covered, begin, 1)
-    np.add.at(covered, begin + length, -1)
-    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    covered[begin] = 1  # no two begin or end at one place
+    covered[begin + length] -= 1
+    literal = (np.cumsum(covered[:-1]) == 0).nonzero()[0]
     colours = x[literal]
     red, green, blue = ((colours >> np.uint32(s) & np.uint32(255)).astype("int64") for s in (16, 8, 0))
     lengths_, near = prefixes(length), np.where(back == 1, 2, np.where(back == width, 1, back + 120))
@@ -841,7 +984,7 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
     best = bits_of(np.concatenate([green, 256 + lengths_[0]])) + bits_of(np.concatenate([red, blue]))
     for tried in CACHES:
         slot = (x * np.uint32(HASH)) >> np.uint32(32 - tried)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype("uint16"), kind="stable")
         seen = np.zeros(len(x), bool)
         seen[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (x[order[1:]] == x[order[:-1]])
         own = seen[literal]
@@ -868,12 +1011,13 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
     out.put(1 | 1 << 2 | alpha << 3, 11)
     out.describe(codes[2], DESCRIBED_BY)
     words = [codes_of(c) for c in codes]
-    width_of = [np.where(np.count_nonzero(c) > 1, c, 0).astype("int64") for c in codes]
+    width_of = [c.astype("int64") if np.count_nonzero(c) > 1 else np.zeros(len(c), "int64") for c in codes]
     value, size = words[0][first], width_of[0][first]
+    own = (~hit).nonzero()[0] if cached else slice(None)
     for colour in (red, blue):
-        more = np.where(hit, 0, width_of[1][colour])
-        value = value | np.where(hit, np.uint64(0), words[1][colour]) << size.astype("uint64")
-        size = size + more
+        colour = colour[own]
+        value[own] |= words[1][colour] << size[own].astype("uint64")
+        size[own] += width_of[1][colour]
     symbol = 256 + lengths_[0]
     v, w = words[0][symbol], width_of[0][symbol]
     for bits, n in ((lengths_[1].astype("uint64"), lengths_[2]), (words[2][where], width_of[2][where]), (extra.astype("uint64"), n_extra)):
@@ -881,7 +1025,7 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
         w = w + n
     values, sizes = np.zeros(len(x), "uint64"), np.zeros(len(x), "int64")
     values[literal], sizes[literal], values[begin], sizes[begin] = value, size, v, w
-    keep = np.flatnonzero(sizes)
+    keep = sizes.nonzero()[0]
     if not len(keep):
         return out.value.to_bytes((out.size + 7) // 8, "little")
     return packed(out, values[keep], sizes[keep])
@@ -930,7 +1074,7 @@ def encode_payload(samples: np.ndarray, width: int, grain: int = 4) -> bytes:
     c = samples.reshape(-1, 3)
     x, height = coloured(c), len(c) // width
     out = header(width, height, False)
-    changes = np.flatnonzero(x[1:] != x[:-1])
+    changes = (x[1:] != x[:-1]).nonzero()[0]
     n = int(changes[-1]) + 2 if len(changes) else 1  # what comes after is a run, which a reference covers
 
     def left(own: np.ndarray) -> float:
@@ -943,8 +1087,10 @@ def encode_payload(samples: np.ndarray, width: int, grain: int = 4) -> bytes:
         told = [(green * int(np.int8(np.uint8(m))) >> 5).astype("uint8") for m in (by_red, by_blue)]
         crossed_ = np.column_stack([c[:, 0] - told[0], c[:, 1], c[:, 2] - told[1]])
         sizes["cross"] = left(crossed_) + 90
-    colours, index = np.unique(x[:n], return_inverse=True)
+    colours = np.sort(x[:n])
+    colours = colours[np.append(True, colours[1:] != colours[:-1])]
     if len(colours) <= 256:
+        index = np.searchsorted(colours, x[:n])
         steps = np.diff(channels(colours), axis=0, prepend=0).astype("uint8")
         sizes["palette"] = bits_of(index) + bits_of(steps[:, 2]) + bits_of(steps[:, 1::2].reshape(-1)) + 120
     if next_:

@@ -190,3 +190,48 @@ def test_payloads_of_every_kind(seed):
     raw = [draw.bytes(n), bytes(n), bytes(draw.integers(0, 3, n).astype("uint8")), (np.arange(n) // 7 % 251).astype("uint8").tobytes(), b"ab" * n, np.repeat(draw.integers(0, 255, n // 3), 3).astype("uint8").tobytes()][seed % 6]
     payload = media.padded(raw)
     assert b"".join(map(media.samples, media.load(media.store(payload)))) == payload
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_references_and_cache_are_filled_as_pixel_by_pixel(seed):
+    """Literals, cached pixels (also of empty places) and references (overlapping ones, and ones that repeat cached pixels), against a plain loop."""
+    draw, shift = np.random.default_rng(seed), 30 - seed % 3
+    x, slot, references = np.zeros(400, "uint32"), np.full(400, -1, "int16"), []
+    plain, held = [], [0] * (1 << (32 - shift))
+    while (n := len(plain)) < 400:
+        kind = int(draw.integers(3))
+        if kind == 0:
+            x[n] = draw.integers(0, 9) * 0x01020305
+            new = [int(x[n])]
+        elif kind == 1:
+            slot[n] = draw.integers(len(held))
+            new = [held[slot[n]]]
+        elif n:
+            length, distance = int(min(draw.integers(1, 40), 400 - n)), int(draw.integers(1, min(n, 20) + 1))
+            references.append((n, length, distance))
+            new = [plain[n - distance + k % distance] for k in range(length)]
+        else:
+            continue
+        plain += new
+        for p in new:
+            held[(p * webp.HASH & 0xFFFFFFFF) >> shift] = p
+    assert webp.filled(x, slot, references, shift).tolist() == plain
+
+
+def test_lengths_told_at_once_are_those_told_one_by_one():
+    """The lengths of a code by stretches of 16 bits, which a file's own code-length code has too; before, there were none."""
+    code = webp.code_of(webp.DESCRIBED_BY.tobytes())
+    for lengths in ([0] * 280, [1, 1] + [0] * 278, [8] * 256 + [0] * 24, [0, 5, 5, 5, 5, 0, 0, 0, 7] * 31 + [0], list(np.random.default_rng(5).integers(0, 12, 280))):
+        out = webp.Writer()
+        out.put(*webp.sizes_told(webp.DESCRIBED_BY.tobytes()))
+        for run in webp.runs_of(np.array(lengths, "uint8")):
+            out.put(*webp.run_word(webp.DESCRIBED_BY.tobytes(), *run))
+        bits, told = out.value >> webp.sizes_told(webp.DESCRIBED_BY.tobytes())[1], []
+        while bits and len(told) < 280:
+            found, width, _ = code.chunk(bits & 0xFFFF)
+            if not width:  # a repeat of what came before, or more than 16 bits
+                break
+            told += found
+            bits >>= width
+        assert told[:280] == lengths[: len(told[:280])]
+    assert code.chunks
