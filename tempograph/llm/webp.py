@@ -440,7 +440,7 @@ def filled(x: np.ndarray, slot: np.ndarray, references: list[tuple[int, int, int
     if not hits.any():
         return filled(x, slot, references, 0)
     known = np.where(hits, slot, ((x * np.uint32(HASH)) >> np.uint32(shift)).astype("int16"))
-    source = np.arange(len(x) + 1)
+    source = np.arange(len(x))
     for n, length, distance in references:
         copied(known, n, length, distance)
         hits[n : n + length] = False
@@ -451,11 +451,28 @@ def filled(x: np.ndarray, slot: np.ndarray, references: list[tuple[int, int, int
     order = np.argsort(known, kind="stable")  # a cached pixel is the last one before it of its place that is not cached itself
     place, own = known[order], ~hits[order]
     latest = np.maximum.accumulate(np.where(own, np.arange(len(x)), -1))
-    found = np.where((latest >= 0) & (place[latest] == place), order[latest], len(x))  # beyond the end: nothing yet, black and transparent
+    held = (latest >= 0) & (place[latest] == place)
+    if not held.all():
+        return filled_in_turn(x, slot, references, shift)
+    found = order[latest]
     source[order] = np.where(own, source[order], found)
     while not ((further := source[source]) == source).all():
         source = further
-    return np.append(x, np.uint32(0))[source[:-1]]
+    return x[source]
+
+
+def filled_in_turn(x: np.ndarray, slot: np.ndarray, references: list[tuple[int, int, int]], shift: int) -> np.ndarray:
+    """The same, pixel by pixel, where a place of the cache is read that holds nothing yet: that is black and transparent, and enters the cache as such."""
+    held, out, by = [0] * (1 << (32 - shift)), x.tolist(), {n: (length, distance) for n, length, distance in references}
+    places, left, back = slot.tolist(), 0, 0
+    for n in range(len(out)):
+        left, back = by.get(n, (left - 1, back))
+        if left > 0:
+            out[n] = out[n - back]
+        elif places[n] >= 0:
+            out[n] = held[places[n]]
+        held[(out[n] * HASH & 0xFFFFFFFF) >> shift] = out[n]
+    return np.array(out, "uint32")
 
 
 # --- transforms
