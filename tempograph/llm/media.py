@@ -60,31 +60,51 @@ def stored(docs: DataFrame) -> DataFrame:
     """(id, n_bytes, media) of docs(id, text): the text's UTF-8, null as empty, as lossless pictures; one row a row, repeated rows too, ids may be null. An empty table gives none; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            raw = [t.as_buffer().to_pybytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in raw], pa.int64()), pa.array([store(padded(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
+        return map(kept, common.slices(batches))
 
     return docs.select("id", common.text_of(docs).alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
 
 
+def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, n_bytes, media) of a batch (id, text)."""
+    raw = [t.as_buffer().to_pybytes() for t in batch["text"]]
+    return pa.RecordBatch.from_arrays([batch["id"], pa.array([len(x) for x in raw], pa.int64()), pa.array([store(padded(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
+
+
+READ = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def read_back(media: DataFrame) -> DataFrame:
     """media(id, n_bytes, media) with the payload's digests and features, all from the decoded pixels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(opened, common.slices(batches))
+
+    return media.mapInArrow(run, READ)
+
+
+def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of read_back() of a batch (id, n_bytes, media)."""
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    out: list[list] = [[] for _ in names[2:]]
+    for m in batch["media"]:
+        raw = m.as_buffer().to_pybytes()
+        payload = b"".join(map(samples, load(raw)))
+        for column, x in zip(out, (len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), sha256(raw).hexdigest(), features(payload)), strict=True):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([batch["id"], batch["n_bytes"], *(pa.array(c, pa.int64() if k in ("payload_bytes", "tail_crc32", "media_bytes") else pa.string()) for c, k in zip(out, names[2:], strict=True))], names)
+
+
+def stored_and_read_back(docs: DataFrame) -> DataFrame:
+    """read_back(stored(docs)), the files of a batch read by the worker that made them instead of going through Spark to another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            out: list[list] = [[] for _ in names[2:]]
-            for m in batch["media"]:
-                raw = m.as_buffer().to_pybytes()
-                payload = b"".join(map(samples, load(raw)))
-                for column, x in zip(out, (len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), sha256(raw).hexdigest(), features(payload)), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n_bytes"], *(pa.array(c, pa.int64() if k in ("payload_bytes", "tail_crc32", "media_bytes") else pa.string()) for c, k in zip(out, names[2:], strict=True))], names)
+        return (opened(files) for batch in common.slices(batches) for files in common.slices(iter([kept(batch)])))
 
-    return media.mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select("id", common.text_of(docs).alias("text")).mapInArrow(run, READ)
 
 
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' texts through stored() and read_back(): one row a row; null text: empty, a payload of padding alone; null and repeated ids stay; an empty table gives none; only doc_id and text are read."""
+    """All documents' texts through stored_and_read_back(): one row a row; null text: empty, a payload of padding alone; null and repeated ids stay; an empty table gives none; only doc_id and text are read."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return read_back(stored(docs)).withColumnRenamed("id", "doc_id")
+    return stored_and_read_back(docs).withColumnRenamed("id", "doc_id")

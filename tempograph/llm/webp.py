@@ -675,10 +675,11 @@ def description(lengths: bytes) -> tuple[int, int]:
 def runs_of(lengths: np.ndarray) -> list[tuple[int, int, bool]]:
     """(length, times, whether it is the last one above 0, or the 8 that all begin with)."""
     begins, last, out = (lengths[1:] != lengths[:-1]).nonzero()[0] + 1, 8, []
-    begins = [0, *begins.tolist(), len(lengths)]
-    for x, n in zip(lengths[begins[:-1]].tolist(), map(int.__sub__, begins[1:], begins), strict=False):
-        out.append((x, n, x == last))
-        last = x or last
+    at, body = 0, lengths.tobytes()
+    for end in (*begins.tolist(), len(body)):
+        x = body[at]
+        out.append((x, end - at, x == last))
+        last, at = x or last, end
     return out
 
 
@@ -983,6 +984,8 @@ def repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """prefix() of many numbers."""
+    if not len(x):
+        return x, x, x
     which = np.searchsorted(FIRST, x, side="right") - 1
     return which, x - FIRST[which], EXTRA[which]
 
@@ -994,27 +997,28 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
     covered[begin] = 1  # no two begin or end at one place
     covered[begin + length] -= 1
     literal = (np.cumsum(covered[:-1]) == 0).nonzero()[0]
-    colours = x[literal]
-    red, green, blue = ((colours >> np.uint32(s) & np.uint32(255)).astype("int64") for s in (16, 8, 0))
+    colours = x[literal].astype("int64")
+    red, green, blue = colours >> 16 & 255, colours >> 8 & 255, colours & 255
     lengths_, near = prefixes(length), np.where(back == 1, 2, np.where(back == width, 1, back + 120))
-    cached, hit = 0, np.zeros(len(literal), bool)
-    best = bits_of(np.concatenate([green, 256 + lengths_[0]])) + bits_of(np.concatenate([red, blue]))
+    cached, first, others, symbol = 0, green, slice(None), 256 + lengths_[0]
+    best = bits_of(np.concatenate([green, symbol])) + bits_of(np.concatenate([red, blue]))
     for tried in CACHES:
-        slot = (x * np.uint32(HASH)) >> np.uint32(32 - tried)
-        order = np.argsort(slot.astype("uint16"), kind="stable")
-        seen = np.zeros(len(x), bool)
-        seen[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (x[order[1:]] == x[order[:-1]])
+        slot = ((x * np.uint32(HASH)) >> np.uint32(32 - tried)).astype("uint16")
+        order = np.argsort(slot, kind="stable")
+        seen, sorted_ = np.zeros(len(x), bool), x[order]
+        seen[order[1:]] = sorted_[1:] == sorted_[:-1]  # of one colour, and so of one place
         own = seen[literal]
-        index = slot[literal].astype("int64")
-        now = bits_of(np.concatenate([np.where(own, 280 + index, green), 256 + lengths_[0]])) + bits_of(np.concatenate([red[~own], blue[~own]]))
-        if own.any() and now < best:
-            best, cached, hit = now, tried, own
-            slots = index
+        if not own.any():
+            continue
+        index, rest = np.where(own, slot[literal].astype("int64") + 280, green), (~own).nonzero()[0]
+        now = bits_of(np.concatenate([index, symbol])) + bits_of(np.concatenate([red[rest], blue[rest]]))
+        if now < best:
+            best, cached, first, others = now, tried, index, rest
     out.put(1 | cached << 1, 5) if cached else out.put(0, 1)
     out.put(0, 1)  # one group of codes
-    first = np.where(hit, 280 + slots, green) if cached else green
+    red, blue = red[others], blue[others]
     where, extra, n_extra = prefixes(near)
-    counts = [np.bincount(np.concatenate([first, 256 + lengths_[0]]), minlength=280 + ((1 << cached) if cached else 0)), np.bincount(np.concatenate([red[~hit], blue[~hit]]), minlength=256), np.bincount(where, minlength=40)]
+    counts = [np.bincount(np.concatenate([first, symbol]), minlength=280 + ((1 << cached) if cached else 0)), np.bincount(np.concatenate([red, blue]), minlength=256), np.bincount(where, minlength=40)]
     codes = []
     for c in counts:
         if c.max() == c.sum() and not c[:256].any():
@@ -1030,12 +1034,10 @@ def put_tokens(out: Writer, x: np.ndarray, width: int, alpha: int = 255) -> byte
     words = [codes_of(c) for c in codes]
     width_of = [c.astype("int64") if np.count_nonzero(c) > 1 else np.zeros(len(c), "int64") for c in codes]
     value, size = words[0][first], width_of[0][first]
-    own = (~hit).nonzero()[0] if cached else slice(None)
     for colour in (red, blue):
-        colour = colour[own]
-        value[own] |= words[1][colour] << size[own].astype("uint64")
-        size[own] += width_of[1][colour]
-    symbol = 256 + lengths_[0]
+        so_far = size[others]
+        value[others] |= words[1][colour] << so_far.astype("uint64")
+        size[others] = so_far + width_of[1][colour]
     v, w = words[0][symbol], width_of[0][symbol]
     for bits, n in ((lengths_[1].astype("uint64"), lengths_[2]), (words[2][where], width_of[2][where]), (extra.astype("uint64"), n_extra)):
         v = v | bits << w.astype("uint64")

@@ -235,3 +235,11 @@ def test_lengths_told_at_once_are_those_told_one_by_one():
             bits >>= width
         assert told[:280] == lengths[: len(told[:280])]
     assert code.chunks
+
+
+def test_files_are_read_where_they_are_made(spark, documents):
+    """The query's rows are those of the two steps, in one Python worker instead of two."""
+    docs = documents.selectExpr("doc_id as id", "text")
+    found, steps = media.stored_and_read_back(docs), media.read_back(media.stored(docs))
+    assert found.dtypes == steps.dtypes and sorted(map(str, found.collect())) == sorted(map(str, steps.collect()))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
