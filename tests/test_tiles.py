@@ -98,3 +98,33 @@ def test_a_gram_of_fractions_is_rounded_where_it_is_summed(spark):
     found = spectral.gram(a, 6)
     assert "round(" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.where("val <> 0.333333D").isEmpty() and found.count() == 2000 * 2001 // 2
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_equal_rows_of_a_product_follow_each_other(monkeypatch, upper):
+    """40 rows of ten kinds, in columns taken 16 at a time: every place once with its value, rows of a kind side by side; before, they came as they are numbered."""
+    monkeypatch.setattr(tiles, "BAND", 8)
+    monkeypatch.setattr(tiles, "WIDE", 16)
+    x = np.arange(40, dtype="int32")
+    v = 1.0 + x % 10
+    tile = lambda right: pa.RecordBatch.from_pydict({"right": [right], "inner": [0], "k": [(x * 0).tobytes()], "x": [x.tobytes()], "v": [v.tobytes()]})
+    found = [b.to_pandas() for b in tiles.summed(40, upper)((pa.scalar(0), pa.scalar(0)), iter([tile(0), tile(1)]))]
+    places = [(i, j) for b in found for i, j, val in b.itertuples(index=False) if val == v[i] * v[j]]
+    assert sorted(places) == [(i, j) for i in range(40) for j in range(40) if i <= j or not upper]
+    last = [b for b in found if b["j"].min() >= 32]
+    assert [list(b["i"].drop_duplicates()) for b in last][:2] == [[0, 10, 20, 30, 1, 11, 21, 31], [2, 12, 22, 32, 3, 13, 23, 33]]
+
+
+def test_tiles_travel_compressed(spark):
+    """2,000 rows share three columns of equal values: 16 bytes a cell before, and opened() gives the cells back."""
+    a = cells(spark.range(2000).selectExpr("id as i", "explode(array(7, 8, 9)) as j", "1 / 3.0D as val"))
+    found = tiles.tiles(a, 512)
+    assert found.selectExpr("sum(length(k) + length(x) + length(v)) as s").first()["s"] < 6000
+
+    def unpacked(key, batches):
+        for b in batches:
+            k, x, v = (np.frombuffer(b[c][0].as_py(), kind) for c, kind in (("k", "int32"), ("x", "int32"), ("v", "float64")))
+            yield pa.RecordBatch.from_pydict({"block": np.full(len(k), key[0].as_py()), "k": k.astype("int64"), "x": x.astype("int64"), "v": v})
+
+    back = found.groupBy("block", "inner").applyInArrow(tiles.opened(unpacked), "block long, k long, x long, v double").selectExpr("block * 512 + x as x", "k", "v")
+    assert back.count() == 6000 and back.exceptAll(a.selectExpr("x", "cast(k as bigint) as k", "v")).isEmpty()
