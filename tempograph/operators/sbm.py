@@ -51,7 +51,8 @@ def probabilities(labels: DataFrame, p: float, q: float) -> DataFrame:
     left, right = blocks.select("t", F.col("b").alias("__a"), F.col("x.label").alias("__x")), blocks.select("t", "b", F.col("x.label").alias("__y"))
     pairs = left.join(right, "t").where("b <= __a").repartition(parts, "t", "__a", "b")
     rows = pairs.select("t", "__a", "b", F.posexplode("__x").alias("__k", "label"), "__y").select("t", (F.col("__a") * BLOCK + F.col("__k")).alias("i"), "label", (F.col("b") * BLOCK).alias("__from"), F.when(F.col("__a") == F.col("b"), F.slice("__y", 1, F.col("__k") + 1)).otherwise(F.col("__y")).alias("__y"))
-    every = rows.select("t", "i", "__from", "label", F.posexplode("__y").alias("__j", "__other"))
+    # coalesce moves nothing: it ends a compiled stage, which else holds all rows that one row gave, a pair's BLOCK * BLOCK
+    every = rows.coalesce(parts).select("t", "i", "__from", "label", F.posexplode("__y").alias("__j", "__other"))
     return every.select("t", "i", (F.col("__from") + F.col("__j")).alias("j"), F.when(F.col("label") == F.col("__other"), p).otherwise(q).alias("prob"))
 
 

@@ -112,3 +112,10 @@ def test_probabilities_are_made_after_the_last_shuffle(spark):
     assert (found["j"] <= found["i"]).all() and found["j"].min() == 0 and found["i"].max() == n - 1
     few = found.sample(5000, random_state=1)
     assert all(p == (0.5 if kind[t, i] == kind[t, j] else 0.2) for t, i, j, p in zip(few["t"], few["i"], few["j"], few["prob"], strict=True))
+
+
+def test_rows_of_a_pair_of_blocks_are_not_all_held_at_once(spark):
+    """The two steps that make a pair's rows are compiled apart, so that one node's rows are held at once; before, all BLOCK * BLOCK were."""
+    labels = sbm.relabelled(sbm.static_labels(spark, 700, [0.5, 0.5], 3), [{}])
+    plan = sbm.sampled(sbm.probabilities(labels, 0.5, 0.2), 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Coalesce") < plan.rindex("Generate posexplode")
