@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import inverse_root
 from . import matrices
 from .components import NODES, components, contrasts, fit, named
-from .eigen import Arrays, Relations, dot, few_pairs, greatest, signed, smallest_pairs, snapshots_fit, sparse_product
+from .eigen import HELD, Arrays, Relations, dot, extreme, few_pairs, greatest, signed, smallest_pairs, snapshots_fit, sparse_product
 from .order import ranged, running
 from .shared import written
 from .spectral import canonical
@@ -186,7 +186,7 @@ def by_components(method: str, adj: DataFrame, rows: DataFrame, n: int, length:
     if number < 2 or method != "prod" and number <= dims:
         return None
     flat = contrasts(np.ones(n), names, dims + 1)[:, 1:]
-    line = np.linalg.eigh(np.diag(np.r_[1.0, [2.0] * (length - 2), 1.0] if length > 1 else [0.0]) - np.eye(length, k=1) - np.eye(length, k=-1))
+    line = np.linalg.eigh(np.diag(line_degrees(length)) - np.eye(length, k=1) - np.eye(length, k=-1))
     if method != "prod":
         found = [(flat[:, k], np.full(length, length**-0.5)) for k in range(dims)]
         return spread_out(spark, rows, found, dims)
@@ -239,6 +239,119 @@ def by_components(method: str, adj: DataFrame, rows: DataFrame, n: int, length:
     return spread_out(spark, rows, made, dims)
 
 
+#: Entries of a part of a snapshot, which a task takes at once.
+PART = 500_000
+
+
+def parts_of(adj: DataFrame, n: int, length: int) -> DataFrame:
+    """(t, i, at, j, w), a written table: rows of a snapshot without its diagonal, packed: their numbers, where their entries begin, columns, and weights, one if all are equal."""
+    cells = adj.where("i <> j")
+    step = -(-n // max(1, -(-cells.count() // (length * PART))))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, i, j, w = (np.concatenate(c) for c in zip(*([np.asarray(b[c]) for c in "tijw"] for b in batches), strict=True))
+        order = np.lexsort((j, i))
+        i, j, w = i[order], j[order], w[order]
+        at = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        w = w[:1] if (w == w[0]).all() else w
+        yield pa.RecordBatch.from_arrays([pa.array(t[:1]), *(pa.array([c.tobytes()], pa.binary()) for c in (i[at], at.astype("int32"), j, w))], ["t", "i", "at", "j", "w"])
+
+    found = cells.select("t", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("w").cast("double").alias("w"), (F.col("t") * n + F.floor(F.col("i") / step)).alias("part"))
+    number = 4 * adj.sparkSession.sparkContext.defaultParallelism
+    return written(found.repartition(number, "part").groupBy("part").applyInArrow(packed, "t long, i binary, at binary, j binary, w binary"), "parts")
+
+
+def snapshots_product(found: DataFrame, n: int, length: int):
+    """x to A x, the snapshots' entries of parts_of() side by side: rows of t * n + i, one job a product; x goes to all tasks, and a row's sums come back once."""
+    context = found.sparkSession.sparkContext
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        m = len(x)
+        shared = context.broadcast(x.reshape(m, length, n))
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = shared.value
+            for batch in batches:
+                for t, *arrays in zip(*(batch[c] for c in ("t", "i", "at", "j", "w")), strict=True):
+                    i, at, j, w = (np.frombuffer(a.as_buffer(), kind) for a, kind in zip(arrays, ("int32", "int32", "int32", "float64"), strict=True))
+                    j, at = j.astype(np.intp), at.astype(np.intp)
+                    sums = [np.add.reduceat(row.take(j) * w if len(w) > 1 else row.take(j), at) * (w[0] if len(w) == 1 else 1.0) for row in x[:, t.as_py()]]
+                    yield pa.RecordBatch.from_arrays([pa.array([t.as_py()]), pa.array([i.tobytes()], pa.binary()), pa.array([np.stack(sums).tobytes()], pa.binary())], ["t", "i", "y"])
+
+        out = np.zeros((m, length, n))
+        for r in found.mapInArrow(own, "t long, i binary, y binary").collect():
+            i = np.frombuffer(r["i"], "int32")
+            out[:, r["t"], i] = np.frombuffer(r["y"]).reshape(m, -1)
+        shared.destroy()
+        return out.reshape(m, -1)
+
+    return apply
+
+
+def beside_flat(method: str, adj: DataFrame, rows: DataFrame, n: int, length: int, coefficient: float, cost: float, dims: int) -> DataFrame:
+    """vector() without normalisation, to a tolerance; vectors of n * length numbers are on the driver, the entries on the executors.
+
+    L takes vectors that are equal on a snapshot's nodes (flat) to such ones, as the path of times does, whose eigenpairs are known,
+    and its other vectors, whose sums are 0 at each t, to such ones; there C is n, so that diff's greatest pairs are L's smallest
+    and prod's are L's greatest. On flat ones C is 0.
+    """
+    size, sign = n * length, 1.0 if method == "prod" else -1.0
+    line, f = np.linalg.eigh(np.diag(line_degrees(length)) - np.eye(length, k=1) - np.eye(length, k=-1))
+    flat = [({"diff": -cost * x, "laplacian": -cost * x, "prod": 0.0}[method], k) for k, x in enumerate(line)][1 if method == "laplacian" else 0 :]
+    space = (n - 1) * length
+    values, vectors = np.zeros(0), np.zeros((0, size))
+    if space:
+        adjacent = snapshots_product(parts_of(adj, n, length), n, length)
+        degrees = adjacent(np.ones((1, size)))[0].reshape(length, n)
+        diagonal = sign * (degrees + cost * line_degrees(length)[:, None])
+        scale = 2 * float(np.abs(diagonal).max())
+
+        def inside(x: np.ndarray) -> np.ndarray:
+            y = x.reshape(len(x), length, n)
+            return (y - y.mean(2, keepdims=True)).reshape(x.shape)
+
+        def apply(x: np.ndarray) -> np.ndarray:
+            out = diagonal.reshape(-1) * x - sign * adjacent(x)
+            y, x = out.reshape(len(x), length, n), x.reshape(len(x), length, n)
+            y[:, 1:] -= sign * cost * x[:, :-1]
+            y[:, :-1] -= sign * cost * x[:, 1:]
+            return inside(out)
+
+        tops, shapes = np.empty(n), np.empty((length, n))
+        for at in range(0, n, 4096):
+            own = np.eye(length) * diagonal[:, at : at + 4096].T[:, None, :] - sign * cost * (np.eye(length, k=1) + np.eye(length, k=-1))
+            found, of = np.linalg.eigh(own)
+            tops[at : at + 4096], shapes[:, at : at + 4096] = found[:, -1], of[:, :, -1].T
+
+        def nearby(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+            """Each node's path of times, without edges, solved for the values, which are kept above the path's own."""
+            out = np.empty((len(x), length, n))
+            for y, r, value in zip(out, x.reshape(out.shape), values, strict=True):
+                shift, c = np.maximum(value, tops + 1e-5 * scale), np.empty((length, n))
+                for t in range(length):
+                    pivot = shift - diagonal[t] - (sign * cost * c[t - 1] if t else 0.0)
+                    c[t] = sign * cost / pivot
+                    y[t] = (r[t] - (sign * cost * y[t - 1] if t else 0.0)) / pivot
+                for t in range(length - 2, -1, -1):
+                    y[t] -= c[t] * y[t + 1]
+            return inside(out.reshape(x.shape))
+
+        width = min(max(dims + 1, min(8, HELD // (8 * size))), space)
+        start = np.random.default_rng(3).standard_normal((width, length, n)) * (1e-3 / np.sqrt(size))
+        for k, i in enumerate(np.argsort(-tops, kind="stable")[: width // 2]):
+            start[k, :, i] += shapes[:, i]
+        values, vectors = extreme(apply, nearby, inside(start.reshape(width, size)), min(dims, space), space, scale)
+    gains = {"diff": lambda x: coefficient * n + x, "laplacian": lambda x: x, "prod": lambda x: n * n * x}[method]
+    every = sorted([(-round(gains(float(x)), 9), 1, k) for k, x in enumerate(values)] + [(-round(x, 9), 0, k) for x, k in flat])[:dims]
+    made = [(np.arange(n), vectors[k].reshape(length, n)) if of else (np.full(n, n**-0.5), f[:, k]) for _, of, k in every]
+    return spread_out(rows.sparkSession, rows, made, dims)
+
+
+def line_degrees(length: int) -> np.ndarray:
+    """How many neighbours each of `length` times has."""
+    return np.r_[1.0, [2.0] * (length - 2), 1.0] if length > 1 else np.zeros(1)
+
+
 def spread_out(spark: SparkSession, rows: DataFrame, found: list[tuple[np.ndarray, np.ndarray]], dims: int) -> DataFrame:
     """(t, i, ev) or (t, i, ev, dim) of vectors: (x of all nodes, f of all times) for f(t) x(i), or (nodes, u(t, node)) and 0 elsewhere."""
     out = None
@@ -263,8 +376,8 @@ def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: in
 
     diff: top of 3(n + 2 beta) C - L; laplacian: second-smallest of L; prod: top of C L C; fast: see fast_vector.
     C is the complete graph's Laplacian at each t. A graph of several components is solved by them (see by_components). Up to `dense` rows of L the problem is solved on the driver
-    (dense * dense numbers at most); beyond, it is iterated to a tolerance (see eigen.greatest), on the driver where L
-    has no more than `local` entries and local / 40 rows, over relations otherwise.
+    (dense * dense numbers at most); beyond, it is iterated to a tolerance: up to `local` pairs (t, i) by vectors on the driver and entries on the
+    executors (see beside_flat), normalized on the driver alone where L has no more than `local` entries and local / 40 rows, over relations otherwise.
     """
     if method == "fast":
         return fast_vector(adj, rows, n, length, beta, normalized=normalized)
@@ -289,6 +402,8 @@ def vector(method: str, adj: DataFrame, rows: DataFrame, times: DataFrame, n: in
         found = by_components(method, adj, rows, n, length, cost, dims, local)
         if found is not None:
             return found
+        if n * length <= local:
+            return beside_flat(method, adj, rows, n, length, coefficient, cost, dims)
     cells = written(cells, "supra")
     size, skip = n * length, 1 if method == "laplacian" else 0
     width, wanted = max(8, skip + dims + 4), skip + dims

@@ -198,3 +198,23 @@ def test_greatest_vector_between_components(spark):
     m = c @ supra(np.zeros((3, 3, 3))) @ c
     np.testing.assert_allclose(m @ u, u * np.linalg.eigvalsh(m)[-1], atol=1e-9)
     assert u @ u == pytest.approx(1)
+
+
+@pytest.mark.parametrize("method", ["diff"])
+@pytest.mark.parametrize("dims", [1, 3])
+def test_vectors_of_a_connected_graph_leave_its_entries_packed(spark, method, dims, monkeypatch):
+    """Beyond the dense size neither the supra-Laplacian is made nor are relations iterated; the last time has one edge, so that many values lie close together."""
+    n, length = 14, 4
+    edges = [e for e in random_edges(21, n=n, length=length, share=0.3) if e[2] < 3] + [(0, 1, 3.0)]
+    g = Graph(relation(spark, edges))
+    l, c = supra(snapshots(edges)), np.kron(np.eye(length), n * np.eye(n) - np.ones((n, n)))  # noqa: E741
+    m = {"diff": 3 * (n + 2.0) * c - l, "laplacian": -l, "prod": c @ l @ c}[method]
+    monkeypatch.setattr(cuts, "greatest", None)
+    monkeypatch.setattr(cuts, "supra_laplacian", lambda *a: g.adjacency)
+    monkeypatch.setattr(cuts, "PART", 20)
+    found = cuts.vector(method, g.adjacency, g.rows, g.times, n, length, dense=1, dims=dims)
+    u = np.stack([dense(found.where(F.col("dim") == k) if dims > 1 else found, (length, n), ("t", "i"), "ev").reshape(-1) for k in range(dims)], 1)
+    skip = 1 if method == "laplacian" else 0
+    values = np.linalg.eigvalsh(m)[::-1][skip : skip + dims]
+    np.testing.assert_allclose(u.T @ u, np.eye(dims), atol=1e-7)
+    np.testing.assert_allclose(m @ u, u * values, atol=1e-3 if method == "prod" else 1e-5)
