@@ -200,7 +200,7 @@ def test_greatest_vector_between_components(spark):
     assert u @ u == pytest.approx(1)
 
 
-@pytest.mark.parametrize("method", ["diff"])
+@pytest.mark.parametrize("method", ["diff", "prod"])
 @pytest.mark.parametrize("dims", [1, 3])
 def test_vectors_of_a_connected_graph_leave_its_entries_packed(spark, method, dims, monkeypatch):
     """Beyond the dense size neither the supra-Laplacian is made nor are relations iterated; the last time has one edge, so that many values lie close together."""
