@@ -136,10 +136,12 @@ def fast_vector(adj: DataFrame, rows: DataFrame, n: int, length: int, beta: floa
     """(t, i, ev): each snapshot's smallest eigenpairs, joined over time by one small problem for each pair's number.
 
     Link terms join equal numbers only, so that the whole problem falls into one tridiagonal problem of T x T for
-    each number k >= 1; the one with the greatest eigenvalue gives the weights. Pair 0 is the constant vector. A snapshot's
+    each number k >= 1; the one with the greatest eigenvalue gives the weights. Pair 0 is the constant vector. As a snapshot's
+    values ascend, problem 1 less any further one is a diagonal matrix without negative numbers: no further one has a greater
+    eigenvalue, and at equal ones the first counts, so that of `rank` pairs 0 and 1 alone are needed. A snapshot's
     entries, not its n * n cells, are in one task, which solves its components one by one; their number is checked.
     """
-    r, c = min(rank, n - 1), 3.0 * (n + 2.0 * beta) * n
+    r, c = min(rank, n - 1, 2), 3.0 * (n + 2.0 * beta) * n
 
     def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j, w = (np.concatenate(x) for x in zip(*([np.asarray(b[c]) for c in "ijw"] for b in batches), strict=True))
