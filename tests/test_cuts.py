@@ -220,12 +220,14 @@ def test_vectors_of_a_connected_graph_leave_its_entries_packed(spark, method, di
     np.testing.assert_allclose(m @ u, u * values, atol=1e-3 if method == "prod" else 1e-5)
 
 
-def test_fast_vector_needs_two_pairs_of_a_snapshot(spark, monkeypatch):
+@pytest.mark.parametrize("normalized", [False, True])
+def test_fast_vector_needs_two_pairs_of_a_snapshot(spark, monkeypatch, normalized):
     """Pairs beyond the second never give the weights: they are not asked for, and the vector is that of the whole problem."""
     a = snapshots(random_edges(31, n=10, length=3))
     g = Graph(relation(spark, random_edges(31, n=10, length=3)))
     r, c = 8, 3.0 * 12 * 10
-    lam, u = zip(*(np.linalg.eigh(np.diag(x.sum(1)) - x) for x in a), strict=True)
+    roots = [np.divide(1, np.sqrt(x.sum(1)), out=np.zeros(10), where=x.sum(1) > 0) for x in a]
+    lam, u = zip(*(np.linalg.eigh(np.eye(10) - s[:, None] * x * s if normalized else np.diag(x.sum(1)) - x) for x, s in zip(a, roots, strict=True)), strict=True)
     chain = np.array([[1.0, 1, 0], [1, 2, 1], [0, 1, 1]])
     tops = [np.linalg.eigh(np.diag([c - x[k] for x in lam]) - chain) for k in range(1, r)]
     assert int(np.argmax([values[-1] for values, _ in tops])) == 0
@@ -238,5 +240,5 @@ def test_fast_vector_needs_two_pairs_of_a_snapshot(spark, monkeypatch):
         return own.few_pairs(cells, n, wanted, smallest)
 
     monkeypatch.setattr(cuts, "few_pairs", two)
-    found = dense(cuts.fast_vector(g.adjacency, g.rows, 10, 3), (3, 10), ("t", "i"), "ev")
+    found = dense(cuts.fast_vector(g.adjacency, g.rows, 10, 3, normalized=normalized), (3, 10), ("t", "i"), "ev")
     np.testing.assert_allclose(np.abs(found), expected, atol=1e-8)
